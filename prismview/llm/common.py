@@ -88,12 +88,13 @@ def ranked(df: DataFrame, keys: list[Column], rank: str, name: str = "rank") ->
     """df with ``rank``: 0, 1, 2, ... in the order of keys over all rows, without any single-task sort.
 
     Rows are range-partitioned and sorted, written, and numbered inside each partition; the only thing that
-    meets on the driver is one count per partition. keys should end in a unique column, so that hot values
-    spread over partitions.
+    meets on the driver is one count per partition. Rows with equal keys take the order of a row number, so hot
+    values spread over partitions.
     """
     spark = df.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    held = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    keys = [*keys, F.col("_row")]
+    held = (df.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop("_row")
             .withColumn("_part", F.spark_partition_id())
             .withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
     held = settled(held, name)

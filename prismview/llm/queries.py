@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from prismview.llm import quality_rules, secret_scans, url_filters
+from prismview.llm import best_fit_packing, quality_rules, secret_scans, simhash_dedup, url_filters, warc
 
 QUERIES = {
+    "op2_simhash_dedup": simhash_dedup.op2_simhash_dedup,
     "op3_url_filters": url_filters.op3_url_filters,
+    "op4_warc": warc.op4_warc,
     "op5_secret_scans": secret_scans.op5_secret_scans,
     "op9_quality_rules": quality_rules.op9_quality_rules,
+    "op10_best_fit_packing": best_fit_packing.op10_best_fit_packing,
 }
 ORACLE_SQL = {
     "op3_url_filters": url_filters.SQL,
+    "op4_warc": warc.SQL,
     "op5_secret_scans": secret_scans.SQL,
     "op9_quality_rules": quality_rules.SQL,
 }
