@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from prismview.llm import best_fit_packing, quality_rules, secret_scans, simhash_dedup, url_filters, warc
+from prismview.llm import best_fit_packing, chat_repair, decontamination, quality_classifier, quality_rules, secret_scans, simhash_dedup, url_filters, warc
 
 QUERIES = {
     "op2_simhash_dedup": simhash_dedup.op2_simhash_dedup,
     "op3_url_filters": url_filters.op3_url_filters,
     "op4_warc": warc.op4_warc,
     "op5_secret_scans": secret_scans.op5_secret_scans,
+    "op6_quality_classifier": quality_classifier.op6_quality_classifier,
+    "op7_chat_repair": chat_repair.op7_chat_repair,
+    "op8_decontamination": decontamination.op8_decontamination,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_best_fit_packing": best_fit_packing.op10_best_fit_packing,
 }
@@ -18,3 +21,4 @@ ORACLE_SQL = {
     "op5_secret_scans": secret_scans.SQL,
     "op9_quality_rules": quality_rules.SQL,
 }
+
