@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from prismview.llm import best_fit_packing, chat_repair, decontamination, quality_classifier, quality_rules, secret_scans, simhash_dedup, url_filters, warc
+from prismview.llm import best_fit_packing, chat_repair, decontamination, quality_classifier, quality_rules, secret_scans, simhash_dedup, substring_dedup, url_filters, warc
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_simhash_dedup": simhash_dedup.op2_simhash_dedup,
     "op3_url_filters": url_filters.op3_url_filters,
     "op4_warc": warc.op4_warc,
