@@ -1,43 +1,18 @@
-"""Helpers that every training-data operator shares: tables, shared scratch storage, components, ranks."""
+"""Helpers that every training-data operator shares: tables, shared scratch storage, components, priors."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prismview.functions.shared import ranked, scratch, settled, shared_dir, table  # noqa: F401
+
 #: White space of the word rule: blank and the five ASCII controls tab to carriage return.
 SPACE = " \t\n\x0b\x0c\r"
 SPACE_RE = r"[\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="prismview-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read back: its lineage ends there, so a lost executor costs no recomputation."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Arrow batches of whole documents: few rows each, since one text may hold many thousand words."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
@@ -84,30 +59,6 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         label = now.select("node", "component")
 
 
-def ranked(df: DataFrame, keys: list[Column], rank: str, name: str = "rank") -> DataFrame:
-    """df with ``rank``: 0, 1, 2, ... in the order of keys over all rows, without any single-task sort.
-
-    Rows are range-partitioned and sorted, written, and numbered inside each partition; the only thing that
-    meets on the driver is one count per partition. Rows with equal keys take the order of a row number, so hot
-    values spread over partitions.
-    """
-    spark = df.sparkSession
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    keys = [*keys, F.col("_row")]
-    held = (df.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop("_row")
-            .withColumn("_part", F.spark_partition_id())
-            .withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
-    held = settled(held, name)
-    counts = sorted((r["_part"], r["n"]) for r in held.groupBy("_part").agg(F.count("*").alias("n")).collect())
-    before, total = [], 0
-    for part, count in counts:
-        before.append((part, total))
-        total += count
-    starts = spark.createDataFrame(before or [(0, 0)], "_part int, _before long")
-    return (held.join(F.broadcast(starts), "_part")  # a row for each partition
-            .withColumn(rank, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before"))
-
-
 def beta_strength(units: DataFrame, n: str, bad: str, low: float = 1.0, high: float = 1000.0) -> tuple[float, float]:
     """(mean, strength) of the beta prior from which the units' rates come, by the method of moments.
 
