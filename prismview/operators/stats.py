@@ -15,7 +15,7 @@ def pearson(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
         ok = F.col(a).isNotNull() & F.col(b).isNotNull()
         x, y = F.when(ok, F.col(a).cast("double")), F.when(ok, F.col(b).cast("double"))
         n = F.count(x)
-        r = F.when(n < 3, None).when((F.stddev_pop(x) < 1e-12) | (F.stddev_pop(y) < 1e-12), F.lit(0.0)).otherwise(F.corr(x, y))
+        r = F.when(n < 3, None).when((F.stddev_pop(x) < 1e-12) | (F.stddev_pop(y) < 1e-12), F.lit(0.0)).otherwise(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
         out.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), n.alias("n"), r.alias("r")))
     return df.agg(F.array(*out).alias("x")).select(F.explode("x").alias("x")).select("x.*")
 
