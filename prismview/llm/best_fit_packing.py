@@ -15,6 +15,7 @@ are; rows repeated are packed as often as they come; an empty table gives an emp
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -33,26 +34,69 @@ _tokenizers: dict[str, object] = {}
 class WordIds:
     """Token ids of texts as little-endian unsigned 32-bit bytes.
 
-    The tokenizer drops white space and never looks across it, so a text's ids are those of its blank-separated
-    parts; parts are remembered, up to ``most`` of them, and then forgotten all at once.
+    The tokenizer drops white space, lowers letters and never looks across blanks, so a text's ids are those of its
+    blank-separated parts, and a part of plain Latin letters, digits and signs is again cut into the pieces that the
+    tokenizer cuts it into. Parts and pieces are remembered, up to ``most`` of each, and then forgotten all at once. New
+    pieces are encoded many at a time with a mark between them.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    #: The tokenizer's own splitting rule, for the characters that PLAIN allows.
+    PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^a-zÀ-ÖØ-öø-ÿ0-9]+")
+    PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+    MARK, TOGETHER = "\x01", 64
+
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has a core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
-
-    def __call__(self, text: str) -> bytes:
-        parts, known = text.replace("\n", " ").split(" "), self.known
-        new = [p for p in dict.fromkeys(parts) if p not in known]
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.parts: dict[str, bytes] = {"": b""}
+        self.pieces: dict[str, bytes] = {}
+        self.mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+        #: Names of special tokens, which stand for one id wherever they occur; lowered, to find what might be one.
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def encoded(self, new: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
+
+    def holds_special(self, text: str) -> bool:
+        low = text.lower()
+        return any(x in low for x in self.special)
+
+    def learn_pieces(self, new: list[str]) -> None:
+        if len(self.pieces) + len(new) > self.most:
+            self.pieces.clear()
+        groups = [new[i:i + self.TOGETHER] for i in range(0, len(new), self.TOGETHER)]
+        for group, e in zip(groups, self.tokenizer.encode_batch([f" {self.MARK} ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype="<u4")
+            cut = np.split(ids, np.flatnonzero(ids == self.mark[0]))
+            own = [cut[0], *[c[1:] for c in cut[1:]]]
+            whole = len(self.mark) == 1 and len(own) == len(group)  # else the mark isn't a token of its own
+            self.pieces.update(zip(group, [o.tobytes() for o in own] if whole else self.encoded(group), strict=True))
+
+    def learn(self, new: list[str]) -> None:
+        plain = {p: self.PIECES.findall(p) for p in new if self.PLAIN.fullmatch(p) and not self.holds_special(p)}
+        other = [p for p in new if p not in plain]
+        self.parts.update(zip(other, self.encoded(other), strict=True))
+        wanted = dict.fromkeys(x for c in plain.values() for x in c)
+        fresh = [x for x in wanted if x not in self.pieces]
+        if fresh:
+            before = len(self.pieces)
+            self.learn_pieces(fresh)
+            if len(self.pieces) < before + len(fresh):  # forgotten in between
+                self.learn_pieces([x for x in wanted if x not in self.pieces])
+        known = self.pieces
+        self.parts.update((p, b"".join([known[x] for x in c])) for p, c in plain.items())
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        cut = [(t if self.holds_special(t) else t.encode().lower().decode()).replace("\n", " ").split(" ") for t in texts]
+        if len(self.parts) > self.most:
+            self.parts = {"": b""}
+        new = list({p for c in cut for p in c if p not in self.parts})
         if new:
-            if len(known) + len(new) > self.most:
-                known.clear()
-                new = list(dict.fromkeys(parts))
-            for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join([known[p] for p in parts])
+            self.learn(new)
+        known = self.parts
+        return [b"".join([known[p] for p in c]) for c in cut]
 
 
 def word_ids(path: str) -> WordIds:
@@ -70,8 +114,8 @@ def pieces(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "t
         encode = word_ids(vocabulary)
         for b in batches:
             row, piece, start, length, crc, held = [], [], [], [], [], []
-            for i, t in enumerate(b.column(1).to_pylist()):
-                ids = memoryview(encode(t or "") + b"\0\0\0\0")
+            for i, own in enumerate(encode([t or "" for t in b.column(1).to_pylist()])):
+                ids = memoryview(own + b"\0\0\0\0")
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at:at + 4 * capacity]
                     row.append(i), piece.append(k), start.append(at // 4), length.append(len(part) // 4), crc.append(zlib.crc32(part))
