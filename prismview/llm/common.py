@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismview.functions.shared import ranked, scratch, settled, shared_dir, table  # noqa: F401
+from prismview.functions.shared import importable, ranked, scratch, settled, shared_dir, table  # noqa: F401
 
 #: White space of the word rule: blank and the five ASCII controls tab to carriage return.
 SPACE = " \t\n\x0b\x0c\r"
@@ -15,6 +15,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Arrow batches of whole documents: few rows each, since one text may hold many thousand words."""
+    importable(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
