@@ -102,8 +102,8 @@ def derived(df: DataFrame) -> DataFrame:
     by their own derivation, so all expressions see the input."""
     made = dimensions(df)
     columns = [in_range(made[d.key], d.low, d.high).alias(d.key) for d in DIMS] + [v.alias(k) for k, v in categories().items()]
-    names = {d.key for d in DIMS} | set(categories())
-    return df.select(*[c for c in df.columns if c not in names], *columns)
+    names = {k.lower() for k in [*(d.key for d in DIMS), *categories()]}  # names are compared without case
+    return df.select(*[c for c in df.columns if c.lower() not in names], *columns)
 
 
 def complete(df: DataFrame, dims: list[str]) -> DataFrame:
