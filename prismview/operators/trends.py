@@ -133,3 +133,13 @@ def running_scatter(df: DataFrame, x: str, y: str, bins: int = 24, least: int =
     r = d.where(F.col("x").between(lo, hi)).select((F.col("y") - fit).alias("r"))
     mid = r.agg(F.median("r").alias("m")).first()["m"]
     return r.agg(F.count("*").alias("n"), (1.4826 * F.median(F.abs(F.col("r") - F.lit(mid)))).alias("sigma"))
+
+
+def isotonic(df: DataFrame, x: str, y: str, weight: str | None = None, increasing: bool = True) -> DataFrame:
+    """x, y: the knots of the monotonic curve nearest to y (pool adjacent violators, by MLlib)."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import IsotonicRegression
+
+    d = VectorAssembler(inputCols=[x], outputCol="_x").transform(df.dropna(subset=[x, y]))
+    fit = IsotonicRegression(featuresCol="_x", labelCol=y, isotonic=increasing, **({"weightCol": weight} if weight else {})).fit(d)
+    return df.sparkSession.createDataFrame([(float(a), float(b)) for a, b in zip(fit.boundaries, fit.predictions, strict=True)], "x double, y double")

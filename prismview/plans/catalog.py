@@ -707,3 +707,73 @@ def ewma(spark, d):
 def hysteresis_steps(spark, d):
     from prismview.streaming import operators as st
     return st.hysteresis(_events(spark, d), "user_id", "ts", "event_id", "value")
+
+
+# ---- sets, carry-over, checks ----------------------------------------------------------------------------------------
+
+@query("SELECT p_partkey AS k, 'part' AS side FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem) UNION ALL SELECT DISTINCT l_partkey, 'line' FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 10)")
+def symmetric_difference(spark, d):
+    p, big = (table(spark, d, "part").where(c).select(F.col("p_partkey").alias("k")) for c in ("true", "p_size > 10"))
+    li = table(spark, d, "lineitem").select(F.col("l_partkey").alias("k"))
+    return p.join(li, "k", "left_anti").withColumn("side", F.lit("part")).unionByName(li.distinct().join(big, "k", "left_anti").withColumn("side", F.lit("line")))
+
+
+@query("SELECT DISTINCT c_nationkey AS nation FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+def common_nations(spark, d):
+    return table(spark, d, "customer").select(F.col("c_nationkey").alias("nation")).intersect(table(spark, d, "supplier").select("s_nationkey"))
+
+
+@query("SELECT p_partkey, p_brand, coalesce(m, '') AS note FROM part LEFT JOIN (SELECT p_partkey, p_type AS m FROM part WHERE p_size > 25) USING (p_partkey)")
+def carried_column(spark, d):
+    p = table(spark, d, "part")
+    return encode.carried_over(p.select("p_partkey", "p_brand"), p.where("p_size > 25").select("p_partkey", F.col("p_type").alias("note")), "p_partkey", "note")
+
+
+@query(f"WITH w AS (SELECT flag, q, lag(q) OVER (PARTITION BY flag ORDER BY day) AS b FROM {_DAYS}) SELECT flag, count_if(q < b) AS faults FROM w GROUP BY flag")
+def monotonic_faults(spark, d):
+    return encode.monotonic_faults(_days(spark, d), "flag", "day", "q")
+
+
+@query(f"WITH b AS (SELECT floor(l_quantity / 5)::INTEGER AS bin, l_quantity, p FROM {_CENTS}), m AS (SELECT median(l_quantity) AS x, median(p) AS y FROM b GROUP BY bin), seg(x0, x1, y0, y1) AS (VALUES {_SEG}) SELECT round(sqrt(avg(pow(y - (y0 + (y1 - y0) * ((x - x0) / (x1 - x0)::DOUBLE)), 2))), 4) AS rms, count(*) AS n FROM m JOIN seg ON x >= x0 AND x < x1")
+def rms_about_curve(spark, d):
+    b = _cents(spark, d).groupBy(F.floor(F.col("l_quantity") / 5).alias("bin")).agg(F.median("l_quantity").alias("x"), F.median("p").alias("y"))
+    return _rounded(curves.rms_about(b, "x", "y", _CURVE), ("rms",))
+
+
+@query("SELECT floor(l_quantity / 5)::INTEGER AS bin, l_linestatus, count(*) AS n, count_if(l_discount >= 0.05)::DOUBLE / count(*) AS fraction FROM lineitem GROUP BY 1, 2 HAVING count(*) >= 20")
+def fraction_by_bin(spark, d):
+    return curves.conditional_fraction(table(spark, d, "lineitem"), F.floor(F.col("l_quantity") / 5).cast("int"), F.col("l_discount") >= 0.05, "l_linestatus", 20)
+
+
+@query("SELECT o_orderpriority, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS i FROM orders) WHERE i <= 8")
+def top_by_group(spark, d):
+    w = Window.partitionBy("o_orderpriority").orderBy(F.col("o_totalprice").desc(), "o_orderkey")
+    return table(spark, d, "orders").withColumn("i", F.row_number().over(w)).where("i <= 8").select("o_orderpriority", "o_orderkey", "o_totalprice")
+
+
+@query("SELECT o_orderkey AS k, round(degrees(2 * asin(sqrt(least(pow(sin(radians((o_custkey % 80) - (o_orderkey % 80)) / 2), 2) + cos(radians(o_orderkey % 80)) * cos(radians(o_custkey % 80)) * pow(sin(radians((o_custkey % 360) - (o_orderkey % 360)) / 2), 2), 1.0)))), 6) AS sep FROM orders")
+def sky_separation(spark, d):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    return table(spark, d, "orders").select(k.alias("k"), F.round(s.separation(k % 360, k % 80, c % 360, c % 80), 6).alias("sep"))
+
+
+@query()
+def isotonic_curve(spark, d):
+    b = _days(spark, d).groupBy("day").agg(F.sum("q").alias("q")).select(F.col("day").cast("double").alias("day"), F.col("q").cast("double").alias("q"))
+    return trends.isotonic(b, "day", "q")
+
+
+@query()
+def synthetic_catalog(spark, d):
+    from prismview.sources.readers import synthetic
+    return synthetic(spark, 5000)
+
+
+@query()
+def relation_points(spark, d):
+    from prismview.operators import relations
+    out = None
+    for r in relations.RELATIONS.values():
+        one = relations.points(spark, r).withColumn("id", F.lit(r.id))
+        out = one if out is None else out.unionByName(one)
+    return out
