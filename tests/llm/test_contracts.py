@@ -199,3 +199,12 @@ def redacted(text):
         out += [text[at:s], "[SECRET]"]
         at = e
     return "".join(out) + text[at:]
+
+
+def test_pipeline_keeps_one_row_of_each_group_whatever_the_ids(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "a b c d", "en", "s", 7), (1, "a b c d", "en", "s", 7), (1, "other words are here now", "en", "s", 9), (None, "x y z w", "en", "s", 7), (None, "x y z w", "en", "s", 7)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got.collect()) == [("1", "a b c d"), ("1", "other words are here now"), ("None", "x y z w")] and got.columns == docs.columns
