@@ -19,19 +19,28 @@ def long_form(df: DataFrame, dims: list[str]) -> DataFrame:
     return df.select(F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).cast("double").alias("value")) for d in dims])).alias("x")).select("x.*").where("value is not null and not isnan(value)")
 
 
-def dim_stats(df: DataFrame, dims: list[str]) -> DataFrame:
-    """dim, n, lo, hi, center (median), scale (1.4826 times the median deviation; the population deviation if that is 0)."""
+def quantile(value: Column, p: float | Column, accuracy: int | None = None) -> Column:
+    """Exact quantile (type 7; a group's distinct values are kept in memory), or with an accuracy a sketch of bounded size that
+    is merged across partitions: for dimensions with too many distinct values."""
+    p = p if isinstance(p, Column) else F.lit(p)
+    return F.percentile(value, p) if accuracy is None else F.percentile_approx(value, p, accuracy)
+
+
+def dim_stats(df: DataFrame, dims: list[str], accuracy: int | None = None) -> DataFrame:
+    """dim, n, lo, hi, center (median), scale (1.4826 times the median deviation; the population deviation if that is 0).
+
+    accuracy: see quantile."""
     v = long_form(df, dims)
-    m = v.groupBy("dim").agg(F.median("value").alias("center"))
+    m = v.groupBy("dim").agg(quantile(F.col("value"), 0.5, accuracy).alias("center"))
     d = v.join(F.broadcast(m), "dim")  # a row for each dimension
     return (d.groupBy("dim").agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.first("center").alias("center"),
-                                 F.median(F.abs(F.col("value") - F.col("center"))).alias("mad"), F.stddev_pop("value").alias("sd"))
+                                 quantile(F.abs(F.col("value") - F.col("center")), 0.5, accuracy).alias("mad"), F.stddev_pop("value").alias("sd"))
             .select("dim", "n", "lo", "hi", "center", F.when(F.col("mad") > 1e-12, MAD * F.col("mad")).otherwise(F.col("sd")).alias("scale")))
 
 
-def quantile_table(df: DataFrame, dims: list[str], parts: int = 100) -> DataFrame:
+def quantile_table(df: DataFrame, dims: list[str], parts: int = 100, accuracy: int | None = None) -> DataFrame:
     """dim, k, q: the quantiles at k / parts."""
-    q = long_form(df, dims).groupBy("dim").agg(F.percentile("value", F.array(*[F.lit(k / parts) for k in range(parts + 1)])).alias("q"))
+    q = long_form(df, dims).groupBy("dim").agg(quantile(F.col("value"), F.array(*[F.lit(k / parts) for k in range(parts + 1)]), accuracy).alias("q"))
     return q.select("dim", F.posexplode("q").alias("k", "q"))
 
 

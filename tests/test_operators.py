@@ -142,3 +142,9 @@ def test_empty_tables(spark):
     assert curves.fit_offset(e, F.col("x"), F.col("y"), [(0, 0), (1, 1)]).first()["offset"] == 0.0
     assert encode.dim_stats(e, ["x"]).count() == 0
     assert trends.running_scatter(e, "x", "y").first()["sigma"] is None
+
+
+def test_sketched_statistics_are_near_the_exact_ones(spark):
+    df = spark.range(20_000).select((F.col("id") * 7919 % 20_000 / 20_000).alias("x"))
+    a, b = encode.dim_stats(df, ["x"]).first(), encode.dim_stats(df, ["x"], accuracy=2000).first()
+    assert abs(a["center"] - b["center"]) < 0.002 and abs(a["scale"] - b["scale"]) < 0.004
