@@ -34,24 +34,23 @@ _tokenizers: dict[str, object] = {}
 class WordIds:
     """Token ids of texts as little-endian unsigned 32-bit bytes.
 
-    The tokenizer drops white space, lowers letters and never looks across blanks, so a text's ids are those of its
-    blank-separated parts, and a part of plain Latin letters, digits and signs is again cut into the pieces that the
-    tokenizer cuts it into. Parts and pieces are remembered, up to ``most`` of each, and then forgotten all at once. New
-    pieces are encoded many at a time with a mark between them.
+    The tokenizer drops white space, lowers letters and never looks across the pieces that it cuts a text into. A text of
+    plain Latin letters, digits and signs is cut into the same pieces here; of any other text the blank-separated parts are
+    the pieces. Pieces are remembered, up to ``most`` of them, and then forgotten all at once; new ones are encoded many at a
+    time with a mark between them.
     """
 
-    #: The tokenizer's own splitting rule, for the characters that PLAIN allows.
-    PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^a-zÀ-ÖØ-öø-ÿ0-9]+")
-    PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+    #: The tokenizer's own splitting rule, for the characters that don't match OTHER.
+    PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^a-zÀ-ÖØ-öø-ÿ0-9 \n]+")
+    OTHER = re.compile("[^!-~À-ÖØ-öø-ÿ \n]")
     MARK, TOGETHER = "\x01", 64
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has a core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.parts: dict[str, bytes] = {"": b""}
-        self.pieces: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
         self.mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
         #: Names of special tokens, which stand for one id wherever they occur; lowered, to find what might be one.
         self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -59,43 +58,35 @@ class WordIds:
     def encoded(self, new: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
 
-    def holds_special(self, text: str) -> bool:
-        low = text.lower()
-        return any(x in low for x in self.special)
-
-    def learn_pieces(self, new: list[str]) -> None:
-        if len(self.pieces) + len(new) > self.most:
-            self.pieces.clear()
-        groups = [new[i:i + self.TOGETHER] for i in range(0, len(new), self.TOGETHER)]
-        for group, e in zip(groups, self.tokenizer.encode_batch([f" {self.MARK} ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, dtype="<u4")
-            cut = np.split(ids, np.flatnonzero(ids == self.mark[0]))
-            own = [cut[0], *[c[1:] for c in cut[1:]]]
-            whole = len(self.mark) == 1 and len(own) == len(group)  # else the mark isn't a token of its own
-            self.pieces.update(zip(group, [o.tobytes() for o in own] if whole else self.encoded(group), strict=True))
-
     def learn(self, new: list[str]) -> None:
-        plain = {p: self.PIECES.findall(p) for p in new if self.PLAIN.fullmatch(p) and not self.holds_special(p)}
-        other = [p for p in new if p not in plain]
-        self.parts.update(zip(other, self.encoded(other), strict=True))
-        wanted = dict.fromkeys(x for c in plain.values() for x in c)
-        fresh = [x for x in wanted if x not in self.pieces]
-        if fresh:
-            before = len(self.pieces)
-            self.learn_pieces(fresh)
-            if len(self.pieces) < before + len(fresh):  # forgotten in between
-                self.learn_pieces([x for x in wanted if x not in self.pieces])
-        known = self.pieces
-        self.parts.update((p, b"".join([known[x] for x in c])) for p, c in plain.items())
+        marked = [p for p in new if self.MARK not in p and not any(x in p for x in self.special)]
+        rest = [p for p in new if self.MARK in p or any(x in p for x in self.special)]
+        self.known.update(zip(rest, self.encoded(rest), strict=True))
+        groups = [marked[i:i + self.TOGETHER] for i in range(0, len(marked), self.TOGETHER)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([f" {self.MARK} ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype="<u4")
+            cut = np.flatnonzero(ids == self.mark[0]).tolist() if len(self.mark) == 1 else []
+            if len(cut) == len(group) - 1:
+                packed, at = ids.tobytes(), 0
+                for p, c in zip(group, [*cut, len(ids)], strict=True):
+                    self.known[p] = packed[4 * at:4 * c]
+                    at = c + 1
+            else:  # the mark isn't a token of its own
+                self.known.update(zip(group, self.encoded(group), strict=True))
+
+    def cut(self, text: str) -> list[str]:
+        low = text.lower()
+        if any(x in low for x in self.special):
+            return text.replace("\n", " ").split(" ")
+        text = text.encode().lower().decode()  # A-Z only
+        return text.replace("\n", " ").split(" ") if self.OTHER.search(text) else self.PIECES.findall(text)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [(t if self.holds_special(t) else t.encode().lower().decode()).replace("\n", " ").split(" ") for t in texts]
-        if len(self.parts) > self.most:
-            self.parts = {"": b""}
-        new = list({p for c in cut for p in c if p not in self.parts})
-        if new:
-            self.learn(new)
-        known = self.parts
+        cut = [self.cut(t) for t in texts]
+        if len(self.known) > self.most:
+            self.known = {"": b""}
+        self.learn(list(set().union(*cut) - self.known.keys()))
+        known = self.known
         return [b"".join([known[p] for p in c]) for c in cut]
 
 

@@ -120,7 +120,6 @@ def redacted(docs: DataFrame, path: str = "doc_id", text: str = "text", mark: st
         start = F.array().cast("array<struct<start:int,end:int>>")
 
         def step(a, x):
-            last = F.element_at(a, -1)
             joins = (F.size(a) > 0) & (x["start"] < F.coalesce(F.get(a, F.size(a) - 1)["end"], F.lit(-1)))
             grown = F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.struct(F.get(a, F.size(a) - 1)["start"].alias("start"), F.greatest(F.get(a, F.size(a) - 1)["end"], x["end"]).alias("end"))))
             return F.when(joins, grown).otherwise(F.concat(a, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end")))))
