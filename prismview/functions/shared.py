@@ -32,6 +32,10 @@ def shared_dir(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         base = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", base)
+    if "://" not in base:  # a path of the default file system, which tasks should find as well
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+        base = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        base = base.replace("file:/", "file:///", 1) if not base.startswith("file://") else base
     return base.rstrip("/")
 
 
