@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -35,44 +36,48 @@ class WordIds:
     """Token ids of texts as little-endian unsigned 32-bit bytes.
 
     The tokenizer drops white space, lowers letters and never looks across the pieces that it cuts a text into. A text of
-    plain Latin letters, digits and signs is cut into the same pieces here; of any other text the blank-separated parts are
-    the pieces. Pieces are remembered, up to ``most`` of them, and then forgotten all at once; new ones are encoded many at a
-    time with a mark between them.
+    plain Latin letters, digits and signs is cut into the same pieces here, and a piece goes straight to the tokenizer's
+    merges; of any other text the blank-separated parts are the pieces, and go through the whole tokenizer. Pieces are
+    remembered, up to ``most`` of them, and then forgotten all at once.
     """
 
-    #: The tokenizer's own splitting rule, for the characters that don't match OTHER.
+    #: The tokenizer's own splitting rule, for the characters that don't match OTHER, and its signs for bytes.
     PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^a-zÀ-ÖØ-öø-ÿ0-9 \n]+")
     OTHER = re.compile("[^!-~À-ÖØ-öø-ÿ \n]")
-    MARK, TOGETHER = "\x01", 64
+    UNLOWERED = re.compile("[^!-@\\[-~À-ÖØ-öø-ÿ]")
+    SAMPLES = ("the", "x9", "élan", "straße", "...", "'s", "<|", "hyperbolic")
 
-    def __init__(self, path: str, most: int = 900_000):
+    def __init__(self, path: str, most: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has a core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.known: dict[str, bytes] = {"": b""}
-        self.mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
         #: Names of special tokens, which stand for one id wherever they occur; lowered, to find what might be one.
         self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
+        rest = [b for b in range(256) if b not in shown]
+        self.signs = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.merges = self.tokenizer.model.tokenize
+        self.direct = all([self.merged(p) for p in self.PIECES.findall(t)] == self.encoded(self.PIECES.findall(t)) for t in self.SAMPLES)
 
     def encoded(self, new: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+
+    def merged(self, piece: str) -> bytes:
+        signs = piece if piece.isascii() else "".join(map(self.signs.__getitem__, piece.lower().encode()))
+        return array("I", [t.id for t in self.merges(signs)]).tobytes()
 
     def learn(self, new: list[str]) -> None:
-        marked = [p for p in new if self.MARK not in p and not any(x in p for x in self.special)]
-        rest = [p for p in new if self.MARK in p or any(x in p for x in self.special)]
-        self.known.update(zip(rest, self.encoded(rest), strict=True))
-        groups = [marked[i:i + self.TOGETHER] for i in range(0, len(marked), self.TOGETHER)]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([f" {self.MARK} ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, dtype="<u4")
-            cut = np.flatnonzero(ids == self.mark[0]).tolist() if len(self.mark) == 1 else []
-            if len(cut) == len(group) - 1:
-                packed, at = ids.tobytes(), 0
-                for p, c in zip(group, [*cut, len(ids)], strict=True):
-                    self.known[p] = packed[4 * at:4 * c]
-                    at = c + 1
-            else:  # the mark isn't a token of its own
-                self.known.update(zip(group, self.encoded(group), strict=True))
+        other = [p for p in new if not self.direct or self.UNLOWERED.search(p) or any(x in p for x in self.special) or not self.whole(p)]
+        self.known.update(zip(other, self.encoded(other), strict=True))
+        rest = set(new).difference(other)
+        self.known.update((p, self.merged(p)) for p in rest)
+
+    def whole(self, part: str) -> bool:
+        """Whether the tokenizer wouldn't cut a part any further."""
+        m = self.PIECES.match(part)
+        return m is not None and m.end() == len(part)
 
     def cut(self, text: str) -> list[str]:
         low = text.lower()
@@ -87,7 +92,7 @@ class WordIds:
             self.known = {"": b""}
         self.learn(list(set().union(*cut) - self.known.keys()))
         known = self.known
-        return [b"".join([known[p] for p in c]) for c in cut]
+        return [b"".join(map(known.__getitem__, c)) for c in cut]
 
 
 def word_ids(path: str) -> WordIds:
