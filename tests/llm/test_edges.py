@@ -47,6 +47,21 @@ def test_op1_near_passages_and_crowds(spark):
     assert {r["doc_id"] for r in got} == set(range(40)) and {r["class_id"] for r in got} == {0}
 
 
+def test_op1_near_passages_around_a_hot_line(spark):
+    line, rows, pairs = [f"line{i}" for i in range(32)], [], 60
+    for k in range(pairs):
+        for copy in range(2):  # the word before the line differs between the copies, so no 45 words are equal; the texts around differ always
+            own = [f"own{k}_{i}" if i != 11 else f"edit{k}_{copy}" for i in range(24)]
+            around = [[f"{side}{k}_{copy}_{i}" for i in range(40)] for side in "ab"]
+            rows.append((2 * k + copy, " ".join([*around[0], *own[:12], *line, *own[12:], *around[1]])))
+    got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    classes = {}
+    for r in got:
+        classes.setdefault(r["doc_id"], set()).add(r["class_id"])
+    found = sum(bool(classes.get(2 * k, set()) & classes.get(2 * k + 1, set())) for k in range(pairs))
+    assert found >= 0.95 * pairs
+
+
 def test_op2(docs, none, spark):
     got = simhash_dedup.simhash_dedup(docs)
     by = {(r["doc_id"], r["fp"]): r["component_id"] for r in got.collect()}
