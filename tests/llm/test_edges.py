@@ -1,5 +1,6 @@
 """Nulls, empty and very long texts, ties and repeated rows, empty tables, further columns with clashing names."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +63,28 @@ def test_op1_near_passages_around_a_hot_line(spark):
     assert found >= 0.95 * pairs
 
 
+def test_op1_reports_every_similar_stretch_of_a_pair(spark):
+    t, a = 46, np.arange(1, 301, dtype=np.uint64)
+    b = a.copy()
+    b[120:180] += np.uint64(10_000)  # the middle differs, both ends are equal
+    assert [x[:2] for x in substring_dedup.similar_stretches(a, b, t, 0.8)] == [(0, 124), (175, 299)]
+    long = spark.createDataFrame([(1, 2, 0, 0, 60), (1, 2, 0, 40, 110), (1, 2, 0, 100, 2000), (1, 2, 3, 50, 120)], "a long, b long, d int, lo int, hi int")
+    got = [(r["d"], r["lo"], r["hi"]) for r in substring_dedup._pieces(long, t).collect()]
+    assert all(any(d == 0 and lo <= at and at + t - 1 <= hi for d, lo, hi in got) for at in range(2000 - t + 2)) and (3, 50, 120) in got
+
+
+def test_op1_verifies_all_meetings(spark):
+    rows, pairs = [], 80
+    for k in range(pairs):  # 54 equal words up to an edit, then pieces too short to count; the copies' edits fall at other places
+        base = [f"w{k}_{i}" for i in range(150)]
+        for copy in range(2):
+            rows.append((2 * k + copy, " ".join(f"e{k}_{copy}_{i}" if copy and i >= 30 and (i < 70 and i % 9 == 0 or i in (95, 120)) else w for i, w in enumerate(base))))
+    got = {}
+    for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r["doc_id"]] = max(got.get(r["doc_id"], 0), r["end_word"])
+    assert sum(got.get(2 * k, 0) >= 135 for k in range(pairs)) >= 0.9 * pairs
+
+
 def test_op2(docs, none, spark):
     got = simhash_dedup.simhash_dedup(docs)
     by = {(r["doc_id"], r["fp"]): r["component_id"] for r in got.collect()}
