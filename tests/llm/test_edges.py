@@ -221,6 +221,16 @@ def test_op8_slots_must_agree(spark):
     assert got == {1: (12, 12), 2: (10, 12)}  # windows that hold 7 and 8 for one value don't count
 
 
+def test_op8_values_of_other_word_counts(spark):
+    text = "{} bought 5 red apples at the market and later {} gave away some of them to another friend who paid {} coins for every fruit and then {} walked home along the river with what was left"
+    words = [f"word{i}" for i in range(100)]
+    item = spark.createDataFrame([(1, text.format("Tom", "Tom", "7", "Tom")), (2, " ".join(words)), (3, "Tom bought some red apples today")], "item_id long, text string")
+    moved = [w for i, w in enumerate(words) for w in ([w, "also"] if i % 18 == 17 else [w])]
+    docs = spark.createDataFrame([(1, text.format("Mary Ann", "Mary Ann", "5 000", "Mary Ann")), (2, " ".join(moved)), (3, "Mary bought some red apples today"), (4, "nothing of this kind is here at all")], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.decontamination(docs, item).collect()}
+    assert got == {(1, 1), (2, 2), (3, 3)}
+
+
 def test_op9(docs, none):
     got = quality_rules.quality_rules(docs)
     assert got.count() == len(rows())
