@@ -208,3 +208,22 @@ def test_pipeline_keeps_one_row_of_each_group_whatever_the_ids(spark):
                                  "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.drop_near_copies(spark, docs, "")
     assert sorted((str(r["doc_id"]), r["text"]) for r in got.collect()) == [("1", "a b c d"), ("1", "other words are here now"), ("None", "x y z w")] and got.columns == docs.columns
+
+
+def test_pipeline_stages_tell_rows_apart_whatever_the_ids(spark, small, monkeypatch):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    item = spark.read.parquet(f"{small}/benchmark.parquet").where("length(text) > 100").first()["text"]
+    docs = spark.createDataFrame([(1, item, "en", "s", 7), (1, "clean words are here now", "en", "s", 9), (None, item, "en", "s", 7), (None, "more clean words here", "en", "s", 7)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    want = [("1", "clean words are here now"), ("None", "more clean words here")]
+    got = corpus_pipeline.decontaminate(spark, docs, small)
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got.collect()) == want and got.columns == docs.columns
+
+    def judge(held, labels, key="doc_id"):
+        return held.select(key, (F.col("text") != item).alias("kept"))
+
+    monkeypatch.setattr(corpus_pipeline.quality_classifier, "quality_classifier", judge)
+    got = corpus_pipeline.classify_quality(spark, docs, small)
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got.collect()) == want and got.columns == docs.columns
