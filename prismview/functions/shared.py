@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_local: dict[str, str] = {}  # application: its folder, where no shared one is set
+_open: dict[str, object] = {}  # path of each scratch folder that still exists: the file system's handle
+_tables: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()  # written table: its path
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,13 +32,17 @@ def importable(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where none is set."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it isn't set, a local master (driver and
+    executors are one process) gets a temporary folder; on a cluster that would lose rows, so it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        folder = tempfile.mkdtemp(prefix="prismview-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        base = "file://" + folder
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _local:
+            _local[app] = tempfile.mkdtemp(prefix="prismview-")
+            atexit.register(shutil.rmtree, _local[app], ignore_errors=True)
+        base = "file://" + _local[app]
     if "://" not in base:  # a path of the default file system, which tasks should find as well
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
         base = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
@@ -40,14 +51,60 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new path in the shared folder; what lies there is removed by ``discard`` or at the end of the driver's process."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    handle = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    _open[path] = handle, handle.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return path
+
+
+def discard(path: str) -> None:
+    handle = _open.pop(path, None)
+    if handle:
+        handle[1].delete(handle[0], True)
+
+
+@atexit.register
+def _discard_all() -> None:
+    with contextlib.suppress(Exception):  # the gateway may be gone by now
+        for path in list(_open):
+            discard(path)
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read back: its lineage ends there, so a lost executor costs no recomputation."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int | None):
+    """Arrow batches of so many rows at most, for what is run inside."""
+    before = spark.conf.get(ARROW_ROWS)
+    if rows:
+        spark.conf.set(ARROW_ROWS, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
+
+
+def settled(df: DataFrame, name: str, *done: DataFrame, rows: int | None = None) -> DataFrame:
+    """df written once to the shared folder and read back: its lineage ends there, so a lost executor costs no recomputation.
+
+    done: written tables that nothing else reads from now on; they are removed. rows: the size of Arrow batches, for plans
+    whose Python functions take whole texts.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    with arrow_rows(spark, rows):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _tables[out] = path
+    forget(*done)
+    return out
+
+
+def forget(*done: DataFrame) -> None:
+    """Remove written tables that nothing reads any more."""
+    for table in done:
+        path = _tables.pop(table, None)
+        if path:
+            discard(path)
 
 
 def ranked(df: DataFrame, keys: list[Column], rank: str, name: str = "rank") -> DataFrame:
