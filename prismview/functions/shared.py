@@ -76,6 +76,7 @@ def arrow_rows(spark: SparkSession, rows: int | None):
     """Arrow batches of so many rows at most, for what is run inside."""
     before = spark.conf.get(ARROW_ROWS)
     if rows:
+        importable(spark)
         spark.conf.set(ARROW_ROWS, str(min(rows, int(before)) if int(before) > 0 else rows))
     try:
         yield
