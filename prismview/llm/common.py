@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismview.functions.shared import importable, ranked, scratch, settled, shared_dir, table  # noqa: F401
+from prismview.functions.shared import discard, forget, importable, ranked, scratch, settled, shared_dir, table  # noqa: F401
 
 #: White space of the word rule: blank and the five ASCII controls tab to carriage return.
 SPACE = " \t\n\x0b\x0c\r"
@@ -13,11 +13,8 @@ SPACE_RE = r"[\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of whole documents: few rows each, since one text may hold many thousand words."""
-    importable(spark)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Rows of an Arrow batch of whole documents: few, since one text may hold many thousand words.
+TEXTS = 512
 
 
 def ascii_lower(c: Column) -> Column:
@@ -54,10 +51,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         hooked = settled(label.join(around, "node", "left").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component")), f"{name}-{k}a")
         # a label is itself a node, and its own label is never larger
         jump = hooked.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        now = settled(hooked.join(jump, "component", "left").select("node", "was", F.least("component", "next").alias("component")), f"{name}-{k}b")
+        now = settled(hooked.join(jump, "component", "left").select("node", "was", F.least("component", "next").alias("component")), f"{name}-{k}b", hooked, label)
         if now.where("component <> was").limit(1).count() == 0:
+            forget(both)
             return now.select("node", "component")
-        label = now.select("node", "component")
+        label = now
 
 
 def beta_strength(units: DataFrame, n: str, bad: str, low: float = 1.0, high: float = 1000.0) -> tuple[float, float]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismview.llm.common import settled, small_batches, table
+from prismview.llm.common import TEXTS, settled, table
 
 WIDTH, LEAST = 8, 5
 #: Words taken for units of measure.
@@ -124,7 +124,6 @@ def windows(row: np.ndarray, template: np.ndarray, kind: np.ndarray, width: int)
 def window_rows(df: DataFrame, key: str, text: str, widths: list[int], wanted: np.ndarray | None = None, forms: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
     """key, at, hash, slots of the windows of df's texts (those in wanted, if given; wanted is sorted), in all forms of the template."""
     spark = df.sparkSession
-    small_batches(spark)
     held = None if wanted is None else spark.sparkContext.broadcast(wanted)
     kind_of = df.schema[key].dataType.simpleString()
 
@@ -220,13 +219,13 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id",
         for form in (0, 1, 2):
             of = few.join(own.where((F.col("_width") == w) & (F.col("form") == form)), few["_item"].eqNullSafe(F.col("_key")), "left_semi")
             asked.append(window_rows(of, "_item", "_text", [w], forms=(form,)))
-    asked = settled(_union(asked).select(F.col("_key").alias("item"), F.col("at").alias("item_at"), F.col("hash").alias("_hash"), F.col("slots").alias("item_slots"), F.col("plain").alias("item_plain")).groupBy("item", "item_at", "_hash", "item_slots").agg(F.max("item_plain").alias("item_plain")), "benchmark-windows")
+    asked = settled(_union(asked).select(F.col("_key").alias("item"), F.col("at").alias("item_at"), F.col("hash").alias("_hash"), F.col("slots").alias("item_slots"), F.col("plain").alias("item_plain")).groupBy("item", "item_at", "_hash", "item_slots").agg(F.max("item_plain").alias("item_plain")), "benchmark-windows", rows=TEXTS)
     total = asked.groupBy("item").agg(F.countDistinct("item_at").alias("_all"), F.countDistinct(F.when(F.col("item_plain"), F.col("item_at"))).alias("_plain"))
     total = total.select("item", F.when(F.col("_plain") > 0, F.col("_plain")).otherwise(F.col("_all")).alias("n_item_windows"))
     hashes = asked.select("_hash").distinct()
     small = hashes.limit(most + 1).count() <= most
     wanted = np.unique(np.array([r["_hash"] for r in hashes.collect()], dtype=np.int64).view(np.uint64)) if small else None
-    found = settled(window_rows(docs, "_key", "_text", widths, wanted), "document-windows")
+    found = settled(window_rows(docs, "_key", "_text", widths, wanted), "document-windows", rows=TEXTS)
     side = F.broadcast(asked) if small and asked.count() <= most else asked
     pair = F.arrays_zip(F.col("slots").alias("a"), F.col("item_slots").alias("b"))
     one = lambda p: (F.size(F.array_distinct(F.transform(p, lambda x: x["a"]))) == F.size(F.array_distinct(p))) & (F.size(F.array_distinct(F.transform(p, lambda x: x["b"]))) == F.size(F.array_distinct(p)))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismview.llm.common import beta_strength, settled, small_batches, table
+from prismview.llm.common import TEXTS, beta_strength, settled, table
 
 #: (measure, what it counts, per what). Levels are whole steps of the binary logarithm.
 MEASURES = (("length", "n_words", None), ("symbols", "n_symbols", "n_words"), ("capitals", "n_upper", "n_letters"), ("bars", "n_bars", "n_words"),
@@ -43,7 +43,6 @@ def counts_of(text: str | None) -> tuple[int, ...]:
 
 def measured(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """The columns keep and the counts of every row."""
-    small_batches(docs.sparkSession)
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +100,7 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, key: str = "doc_id",
     """key, evidence, site_share, score, kept for every row of docs. labels: key and good (boolean)."""
     few = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"),
                       F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), F.col(text).alias("_text"))
-    seen = settled(measured(few, ["_key", "host", "path"], "_text"), "quality-measures")
+    seen = settled(measured(few, ["_key", "host", "path"], "_text"), "quality-measures", rows=TEXTS)
     known = labels.where("good is not null").select(F.col(key).alias("_label"), "good")
     labelled = settled(seen.join(known, seen["_key"] == known["_label"]).drop("_label"), "quality-labelled")
     ratios = evidence(labelled)
