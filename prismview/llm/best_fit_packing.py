@@ -238,8 +238,8 @@ def best_fit(parts: DataFrame, key: str, capacity: int = CAPACITY) -> DataFrame:
         return parts.drop("_piece").withColumns({"sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")})
     all_placed = reduce(DataFrame.union, [f.where(~lone).select("id", "size", "sequence", F.lit(k).alias("round")) for k, f in enumerate(placed)])
     before = Window.partitionBy("sequence").orderBy("round", "id").rowsBetween(Window.unboundedPreceding, -1)  # a sequence holds capacity pieces at most
-    at = settled(all_placed.select("id", F.col("sequence").alias("sequence_id"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset")), "places", *placed)
-    return parts.join(at, parts["_piece"] == at["id"]).drop("_piece", "id")
+    at = settled(all_placed.select("id", F.col("sequence").alias("sequence_id"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset")), "piece-places", *placed)
+    return parts.join(at.hint("shuffle_hash"), parts["_piece"] == at["id"]).drop("_piece", "id")
 
 
 def best_fit_packing(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:

@@ -2,18 +2,21 @@ r"""Secret scans by an incremental blob ledger, in DataFrame functions only.
 
 Every version of a text is addressed by its SHA-256. A ledger holds, for each pair of blob and rule version that
 was ever scanned, the spans found; a scan takes one holder of each blob whose pair the ledger lacks, and the
-findings are joined back to every path that holds the blob.
+findings are joined back to every path that holds the blob. Matches become rows, so that running sums, overlaps and the
+lists of spans take time in proportion to a text and its matches.
 
 Edge cases: a null text is the empty text; null and repeated paths stay as they are; an empty table gives an empty
-result; further columns are dropped, whatever their names. Places are in code points, the end exclusive.
+result; further columns are dropped by the scan and kept by the redaction, whatever their names. Places are in code points,
+the end exclusive. Texts are read twice, to address them and to scan one holder of each; an input that gives other rows at
+the second reading (a sample, say) is an error.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from prismview.llm.common import let, scratch, settled, table
+from prismview.llm.common import fresh, let, settled, table
 
 #: Kinds in order: (kind, regular expression, group that has to be long, its least length). Fixed values; letters of
 #: either case are spelled out, so that case folding can't differ between engines. The first three are the base
@@ -31,36 +34,35 @@ RULES = (
 BASE = ("assign", "access", "hex")
 RULE_VERSION = "rules-1"
 SPAN = "struct<start:int,kind:int,end:int>"
+MATCH = "struct<kind:int,i:int,gap:int,long:int,value:int>"
 
 
-def spans_of(text: Column, k: int, rule: tuple[str, str, int, int]) -> Column:
-    """Array of (start, kind number, end) of one kind's leftmost matches that don't overlap.
+def matches(text: Column, k: int, rule: tuple[str, str, int, int]) -> Column:
+    """Array of (kind number, number, length of the text since the last match, length, length of the group) of one kind's
+    leftmost matches that don't overlap. The matches and the pieces between them take turns in the text."""
+    _, pattern, group, _ = rule
 
-    The matches and the pieces between them take turns in the text, so a match starts at the length of all pieces
-    up to it and all matches before it.
-    """
-    _, pattern, group, least = rule
-
-    def placed(m):
+    def measured(m):
         pieces = F.split(text, pattern, -1)
         values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else m
         both = F.arrays_zip(m.alias("m"), F.slice(pieces, 1, F.size(m)).alias("p"), values.alias("v"))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("found"))
-
-        def step(a, x):
-            s = a["at"] + F.length(x["p"])
-            e = s + F.length(x["m"])
-            span = F.array(F.struct(s.alias("start"), F.lit(k).alias("kind"), e.alias("end")))
-            return F.struct(e.alias("at"), F.when(F.length(x["v"]) >= least, F.concat(a["found"], span)).otherwise(a["found"]).alias("found"))
+        row = lambda x, i: F.struct(F.lit(k).alias("kind"), i.alias("i"), F.length(x["p"]).alias("gap"), F.length(x["m"]).alias("long"), F.length(x["v"]).alias("value"))
+        return F.when(F.size(m) == 0, F.array().cast(f"array<{MATCH}>")).otherwise(F.transform(both, row))
 
-        return F.when(F.size(m) == 0, F.array().cast(f"array<{SPAN}>")).otherwise(F.aggregate(both, start, step, lambda a: a["found"]))
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), measured)
 
-    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
-
-def all_spans(text: Column, rules=RULES) -> Column:
-    """Array of spans of all kinds, by start, then kind as listed."""
-    return F.array_sort(F.concat(*[spans_of(text, k, r) for k, r in enumerate(rules)]))
+def scanned(blobs: DataFrame, rules=RULES) -> DataFrame:
+    """blob, spans: the spans of all kinds by start, then kind as listed, for a table of blob and text (each blob once)."""
+    found = settled(blobs.select("blob", F.concat(*[matches(F.col("text"), k, r) for k, r in enumerate(rules)]).alias("found")), "secret-matches")
+    some = found.where(F.size("found") > 0).select("blob", F.explode("found").alias("m")).select("blob", "m.*")
+    upto = Window.partitionBy("blob", "kind").orderBy("i")  # the matches of one text, as they come
+    placed = some.withColumn("end", F.sum(F.col("gap") + F.col("long")).over(upto).cast("int"))
+    least = F.get(F.array(*[F.lit(r[3]) for r in rules]), F.col("kind"))
+    span = F.when(F.col("value") >= least, F.struct((F.col("end") - F.col("long")).alias("start"), "kind", "end"))
+    lists = placed.groupBy("blob").agg(F.array_sort(F.collect_list(span)).cast(f"array<{SPAN}>").alias("spans"))
+    none = found.where(F.size("found") == 0).select("blob", F.array().cast(f"array<{SPAN}>").alias("spans"))
+    return lists.union(none)
 
 
 def _name(kind: Column) -> Column:
@@ -86,15 +88,16 @@ def unseen_blobs(versions: DataFrame, path: str, text: str, ledger: DataFrame |
     if ledger is not None:
         seen = ledger.where(F.col("rule_version") == rule_version).select("blob").distinct()
         todo = todo.join(seen, "blob", "left_anti")
-    return todo.hint("shuffle_hash").join(numbered, "_row").select("blob", F.coalesce("text", F.lit("")).alias("text"))
+    held = todo.hint("shuffle_hash").join(numbered, "_row")
+    same = F.when(F.col("blob") == address(F.col("text")), F.coalesce("text", F.lit(""))).otherwise(F.raise_error(F.lit("the input's rows changed between two readings; write it first")))
+    return held.select("blob", same.alias("text"))
 
 
 def scan_ledger(versions: DataFrame, path: str = "doc_id", text: str = "text", ledger: DataFrame | None = None,
                 rule_version: str = RULE_VERSION) -> DataFrame:
     """The ledger with every blob of versions in it: blob, rule_version, spans (written to the shared folder)."""
     new = unseen_blobs(versions, path, text, ledger, rule_version)
-    new = new.select("blob", F.lit(rule_version).alias("rule_version"), all_spans(F.col("text")).alias("spans"))
-    new = settled(new, "ledger")
+    new = settled(scanned(new).select("blob", F.lit(rule_version).alias("rule_version"), "spans"), "ledger")
     return new if ledger is None else ledger.select("blob", "rule_version", "spans").unionByName(new)
 
 
@@ -114,27 +117,34 @@ def digest(found: DataFrame, path: str = "doc_id") -> DataFrame:
                         F.sha2(spelled(base), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans"))
 
 
-def redacted(docs: DataFrame, path: str = "doc_id", text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with every span replaced by mark, overlapping spans by one; its columns stay as they are. Each text is scanned where it lies."""
-    def merged(s):
-        start = F.array().cast("array<struct<start:int,end:int>>")
-
-        def step(a, x):
-            joins = (F.size(a) > 0) & (x["start"] < F.coalesce(F.get(a, F.size(a) - 1)["end"], F.lit(-1)))
-            grown = F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.struct(F.get(a, F.size(a) - 1)["start"].alias("start"), F.greatest(F.get(a, F.size(a) - 1)["end"], x["end"]).alias("end"))))
-            return F.when(joins, grown).otherwise(F.concat(a, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end")))))
+def merged(found: DataFrame) -> DataFrame:
+    """blob, spans: overlapping spans of a blob as one, by start."""
+    each = found.select("blob", F.explode("spans").alias("s")).select("blob", "s.start", "s.end")
+    order = Window.partitionBy("blob").orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    islands = each.withColumn("new", F.when(F.col("start") < reach, 0).otherwise(1)).withColumn("island", F.sum("new").over(order))
+    whole = islands.groupBy("blob", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return whole.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
-        return F.aggregate(s, start, step)
 
-    t = F.col(text)
-    cut = lambda m: F.concat(
-        F.array_join(F.transform(m, lambda x, i: F.concat(F.substring(t, F.coalesce(F.get(m, i - 1)["end"], F.lit(0)) + 1, x["start"] - F.coalesce(F.get(m, i - 1)["end"], F.lit(0))), F.lit(mark))), ""),
-        F.substring(t, F.get(m, F.size(m) - 1)["end"] + 1, F.length(t)))
-    return docs.withColumn(text, F.when(F.size("_spans") > 0, let(let(F.col("_spans"), merged), cut)).otherwise(t)).drop("_spans")
+def redacted(docs: DataFrame, found: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
+    """docs with every span of its text replaced by mark, overlapping spans by one. found: blob and spans (a ledger). A text with
+    spans is taken apart into characters once, and the parts between the spans are put together."""
+    blob, spans, own = (fresh(docs, c) for c in ("blob", "spans", "address"))
+    hit = settled(merged(found.where(F.size("spans") > 0)), "secret-places").select(F.col("blob").alias(blob), F.col("spans").alias(spans))
+    t, m = F.col(text), F.col(spans)
+    end = lambda i: F.coalesce(F.get(m, i)["end"], F.lit(0))
+    part = lambda chars, a, z: F.array_join(F.slice(chars, a + 1, z - a), "")
+    cut = lambda chars: F.concat(F.array_join(F.transform(m, lambda x, i: F.concat(part(chars, end(i - 1), x["start"]), F.lit(mark))), ""), part(chars, end(F.size(m) - 1), F.size(chars)))
+    held = docs.withColumn(own, address(t)).join(hit.hint("shuffle_hash"), F.col(own) == F.col(blob), "left")
+    return held.withColumn(text, F.when(m.isNull(), t).otherwise(let(F.split(t, "(?!^)(?!$)", -1), cut))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(secret_scans(table(spark, sf_dir, "documents")))
+    """All documents, in two increments: the versions of the first half of the addresses, then all of them against that ledger."""
+    docs = table(spark, sf_dir, "documents")
+    first = scan_ledger(docs.where(address(F.col("text")) < "8"))
+    return digest(secret_scans(docs, ledger=first))
 
 
 def _sql_kind(kind: str, k: int, pattern: str, group: int, least: int) -> str:

@@ -177,7 +177,25 @@ def test_op5(docs, none, spark):
     assert secret_scans.secret_scans(none).count() == 0
     tricky = spark.createDataFrame([(1, "token=token:abcdef secret='abc' 😀API_KEY: abcdef.g"), (2, "password=1234 x password=123456")], "doc_id long, text string")
     assert [r["spans"] for r in secret_scans.digest(secret_scans.secret_scans(tricky)).orderBy("doc_id").collect()] == ["assign:33:50", "assign:16:31"]
-    assert [r["text"] for r in secret_scans.redacted(tricky.join(secret_scans.secret_scans(tricky).withColumnRenamed("spans", "_spans"), "doc_id")).orderBy("doc_id").collect()] == ["token=token:abcdef secret='abc' 😀[SECRET]", "password=1234 x [SECRET]"]
+    clash = tricky.selectExpr("*", "1 as spans", "2 as blob", "3 as address", "4 as _spans", "5 as `a.b`")
+    clean = secret_scans.redacted(clash, secret_scans.scan_ledger(tricky))
+    assert [r["text"] for r in clean.orderBy("doc_id").collect()] == ["token=token:abcdef secret='abc' 😀[SECRET]", "password=1234 x [SECRET]"] and clean.columns == clash.columns
+
+
+def test_op5_many_matches_in_one_text(spark):
+    import re
+    import time
+
+    text = "😀 token=abc123 " + " ".join(f"{i:x}" * 9 + f" password: p{i}q{i}" for i in range(1000, 21_000))
+    df = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    t = time.time()
+    ledger = secret_scans.scan_ledger(df)
+    got = {r["doc_id"]: r["spans"] for r in secret_scans.secret_scans(df, ledger=ledger).collect()}
+    clean = secret_scans.redacted(df, ledger).where("doc_id = 1").first()["text"]
+    assert time.time() - t < 60
+    want = sorted((m.start(), k, m.end()) for k, (_, p, g, least) in enumerate(secret_scans.RULES) for m in re.finditer(p, text) if len(m.group(g)) >= least)
+    assert [tuple(x) for x in got[1]] == want and got[2] == []
+    assert "password" not in clean and clean.startswith("😀 [SECRET] ") and clean.count("[SECRET]") == len(want)
 
 
 def test_op5_scans_only_unseen_blobs(docs):
