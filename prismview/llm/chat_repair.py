@@ -13,14 +13,19 @@ stretch is decided between its entry and exit state. A conversation of any lengt
 Output: a row per input turn and per inserted turn, in the order ``seq``; the pieces of a conversation, concatenated in that
 order, are the rendered text. An end mark stands at the start of the piece after it, and after the last piece.
 
-Edge cases: a null or unknown role can take any role at the cost of an unknown one; a null text is empty; turns that are
+A start or end mark within a text can't forge a turn: it gets a backslash after its ``<`` (one more, where it has some already, so
+that the texts can be read back).
+
+Edge cases: conversation and turn keys may be of any type that can be ordered; a null or unknown role can take any role at the cost of an unknown one; a null text is empty; turns that are
 null come first; equal turns keep the order in which they are read; rows repeated are turns of their own; null
 conversation ids form one conversation; an empty table gives an empty result; further columns are dropped.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +40,11 @@ STATES = (NONE, SYSTEM, USER, ASSISTANT)
 NEXT = {NONE: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
 COST = {"merge": 1, "insert": 3, "relabel": 2, "unknown": 1}
 OPEN, CLOSE, JOIN = "<|im_start|>{}\n", "<|im_end|>\n", "\n\n"
+MARK = re.compile(r"<(\\*)\|im_(start|end)\|>")
+
+
+def escaped(text: str) -> str:
+    return MARK.sub(r"<\\\1|im_\2|>", text) if "|im_" in text else text
 
 
 def options(state: int, role: int | None) -> list[tuple[int, int, str, int | None]]:
@@ -122,7 +132,7 @@ def _stretches(batches: Iterator[pa.RecordBatch]):
                 if rows:
                     yield *at, rows
                 at, rows = (part, conv), []
-            rows.append((turn, ROLES.index(role) if role in ROLES else None, text or ""))
+            rows.append((turn, ROLES.index(role) if role in ROLES else None, escaped(text or "")))
     if rows:
         yield *at, rows
 
@@ -131,7 +141,8 @@ def chat_repair(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
     """conv, turn (null for an inserted one), seq, out_turn, role, action, cost, rendered."""
     spark = turns.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    few = turns.select(F.col(conv).cast("long").alias("conv"), F.col(turn).cast("long").alias("turn"), F.lower(F.trim(F.col(role))).alias("role"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
+    kinds = {name: turns.schema[c].dataType.simpleString() for name, c in (("conv", conv), ("turn", turn))}
+    few = turns.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.lower(F.trim(F.col(role))).alias("role"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
     order = [F.col("conv").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("row")]
     held = settled(few.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), "turns")
     dealt = held.repartitionByRange(n, "part").sortWithinPartitions("part", *order).select("part", "conv", "turn", "role", "text", "row")
@@ -144,11 +155,12 @@ def chat_repair(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
     crossing = {c for c, k in seen.items() if k > 1}  # as many as there are parts at most
 
     def summed(batches):
+        own, batches = _kinds(batches)
         for part, c, rows in _stretches(batches):
             roles = [r[1] for r in rows]
             for entry in STATES:
                 last = forward(entry, roles)[-1]
-                yield pa.RecordBatch.from_arrays([pa.array([part] * len(last), pa.int32()), pa.array([c] * len(last), pa.int64()), pa.array([entry] * len(last), pa.int32()), pa.array(list(last), pa.int32()), pa.array([v[0] for v in last.values()], pa.int64()), pa.array([v[1] for v in last.values()], pa.int64()), pa.array([v[2] for v in last.values()], pa.int64())], ["part", "conv", "entry", "exit", "cost", "out", "pieces"])
+                yield pa.RecordBatch.from_arrays([pa.array([part] * len(last), pa.int32()), pa.array([c] * len(last), own[0]), pa.array([entry] * len(last), pa.int32()), pa.array(list(last), pa.int32()), pa.array([v[0] for v in last.values()], pa.int64()), pa.array([v[1] for v in last.values()], pa.int64()), pa.array([v[2] for v in last.values()], pa.int64())], ["part", "conv", "entry", "exit", "cost", "out", "pieces"])
 
     fixed = {}
     if crossing:
@@ -156,13 +168,14 @@ def chat_repair(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
         across = F.col("conv").isin(ids) if ids else F.lit(False)
         across = (across | F.col("conv").isNull()) if None in crossing else across
         tables: dict[tuple, dict] = {}
-        for r in dealt.where(across).drop("text").withColumn("text", F.lit("")).select("part", "conv", "turn", "role", "text").mapInArrow(summed, "part int, conv long, entry int, exit int, cost long, out long, pieces long").collect():
+        for r in dealt.where(across).drop("text").withColumn("text", F.lit("")).select("part", "conv", "turn", "role", "text").mapInArrow(summed, f"part int, conv {kinds['conv']}, entry int, exit int, cost long, out long, pieces long").collect():
             tables.setdefault((r["part"], r["conv"]), {}).setdefault(r["entry"], {})[r["exit"]] = (r["cost"], r["out"], r["pieces"])
         fixed = assembled([{"part": p, "conv": c, "table": t} for (p, c), t in tables.items()])
     known = spark.sparkContext.broadcast(fixed)
 
     def repaired(batches):
         out: list[tuple] = []
+        own, batches = _kinds(batches)
         for part, c, rows in _stretches(batches):
             entry, leave, before, seq, last = known.value.get((part, c), (NONE, None, 0, 0, True))
             steps = forward(entry, [r[1] for r in rows])
@@ -179,19 +192,25 @@ def chat_repair(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
                     piece, number = (CLOSE if opened else "") + OPEN.format(ROLES[state]) + words, number + 1
                 out.append((c, t, seq, number - 1, ROLES[state], action.removeprefix("insert+").replace("insert", "keep"), cost - paid, piece + ends))
                 seq, opened, paid = seq + 1, True, cost
-            if len(out) >= 512:
-                yield _batch(out)
-                out = []
+                if len(out) >= 512:
+                    yield _batch(out, own)
+                    out = []
         if out:
-            yield _batch(out)
+            yield _batch(out, own)
 
-    got = dealt.drop("row").mapInArrow(repaired, "conv long, turn long, seq long, out_turn long, role string, action string, cost long, rendered string")
+    got = dealt.drop("row").mapInArrow(repaired, f"conv {kinds['conv']}, turn {kinds['turn']}, seq long, out_turn long, role string, action string, cost long, rendered string")
     return got.select(F.col("conv").alias(conv), F.col("turn").alias(turn), "seq", "out_turn", "role", "action", "cost", "rendered")
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
+def _kinds(batches: Iterator[pa.RecordBatch]) -> tuple[list[pa.DataType], Iterator[pa.RecordBatch]]:
+    """The types of the keys, and the batches."""
+    first = next(batches, None)
+    return ([], iter(())) if first is None else ([first.schema.field(c).type for c in ("conv", "turn")], chain([first], batches))
+
+
+def _batch(rows: list[tuple], own: list[pa.DataType]) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True))
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
+    kinds = [*own, pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["conv", "turn", "seq", "out_turn", "role", "action", "cost", "rendered"])
 
 
