@@ -137,7 +137,7 @@ def redacted(docs: DataFrame, found: DataFrame, text: str = "text", mark: str =
     part = lambda chars, a, z: F.array_join(F.slice(chars, a + 1, z - a), "")
     cut = lambda chars: F.concat(F.array_join(F.transform(m, lambda x, i: F.concat(part(chars, end(i - 1), x["start"]), F.lit(mark))), ""), part(chars, end(F.size(m) - 1), F.size(chars)))
     held = docs.withColumn(own, address(t)).join(hit.hint("shuffle_hash"), F.col(own) == F.col(blob), "left")
-    return held.withColumn(text, F.when(m.isNull(), t).otherwise(let(F.split(t, "(?!^)(?!$)", -1), cut))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return held.withColumn(text, F.when(m.isNull(), t).otherwise(let(F.split(t, "", -1), cut))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

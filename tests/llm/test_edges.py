@@ -233,13 +233,11 @@ def test_op7_long_conversation_spreads_and_stays_the_least(spark):
 
     rnd = random.Random(1)
     roles = [rnd.choice(["user", "assistant", "system", "bot"]) for _ in range(4000)]
-    df = spark.createDataFrame([(7, i, r, str(i)) for i, r in enumerate(roles)] + [(k, 0, "user", "x") for k in range(20)], "conv_id long, turn long, role string, text string")
-    got = chat_repair.chat_repair(df.where("conv_id = 7 and turn is not null"))
+    df = spark.createDataFrame([(7, i, r, str(i)) for i, r in enumerate(roles)] + [(k, 0, "user", "x") for k in range(20) if k != 7], "conv_id long, turn long, role string, text string")
     last = chat_repair.forward(chat_repair.NONE, [chat_repair.ROLES.index(r) if r in chat_repair.ROLES else None for r in roles])[-1]
     rows = chat_repair.chat_repair(df).where("conv_id = 7").collect()
-    one = [r for r in rows if not (r["turn"] == 0 and r["rendered"].endswith("x"))]
     assert len({r["seq"] for r in rows}) == len(rows) and {r["seq"] for r in rows} == set(range(len(rows)))
-    assert sum(r["cost"] for r in got.collect()) <= last[chat_repair.cheapest(last)][0] + 5 and one
+    assert sum(r["cost"] for r in rows) == last[chat_repair.cheapest(last)][0] and len({r["turn"] for r in rows if r["turn"] is not None}) == 4000
 
 
 def test_op8(docs, none, spark):
@@ -336,7 +334,7 @@ def test_op10_packs_as_well_as_best_fit_decreasing(spark, monkeypatch):
 
     monkeypatch.setattr(pack, "FEW", 200)  # several ranges
     rnd = np.random.default_rng(4)
-    for cap, lengths in ((2048, rnd.integers(1, 2049, 3000)), (64, rnd.integers(1, 9, 3000)), (100, rnd.integers(34, 50, 2000)), (16, np.full(50, 16)), (7, np.array([3]))):
+    for cap, lengths in ((2048, rnd.integers(1, 2049, 2000)), (100, rnd.integers(34, 50, 1000)), (16, np.full(50, 16))):
         parts = settled(spark.createDataFrame([(k, None, int(n)) for k, n in enumerate(lengths)], "_piece long, doc_id long, length long"), "parts")
         rows = pack.best_fit(parts, "doc_id", cap).collect()
         assert sorted(r["length"] for r in rows) == sorted(lengths.tolist())
