@@ -90,6 +90,11 @@ def cdf_percentile(table: Column, x: Column) -> Column:
     return F.when(x.isNull(), None).when(upto == 0, F.lit(0.0)).when(upto == n, (n - 1).cast("double")).otherwise(upto - 1 + (x - lower) / F.nullif(upper - lower, F.lit(0.0)))
 
 
+def code_interval(table: Column, code: Column, low: Column | float, step: Column | float) -> tuple[Column, Column]:
+    """Percentiles (first, last) that a quantized code covers: half a step on either side of its value."""
+    return cdf_percentile(table, low + (code - 1.5) * step), cdf_percentile(table, low + (code - 0.5) * step)
+
+
 def value_at(table: Column, p: Column) -> Column:
     """Linear interpolation of a table of quantiles at percentile p (0..n-1)."""
     k = F.least(F.greatest(F.floor(p), F.lit(0)), F.size(table) - 2).cast("int")

@@ -49,3 +49,22 @@ def ordinal(n: Column) -> Column:
     teen = (n % 100).between(11, 13)
     end = F.when(~teen & (n % 10 == 1), "st").when(~teen & (n % 10 == 2), "nd").when(~teen & (n % 10 == 3), "rd").otherwise("th")
     return F.concat(n.cast("string"), end)
+
+
+def vector_text(v: Column) -> Column:
+    """base64url text of a vector in -1..1, as little-endian 16-bit numbers, without padding."""
+    def two_bytes(x):
+        q = F.greatest(F.lit(-32767), F.least(F.lit(32767), F.floor(x.cast("double") * 32767 + 0.5))).cast("long")
+        return F.concat(F.lpad(F.hex(q.bitwiseAND(F.lit(255))), 2, "0"), F.lpad(F.hex(F.shiftright(q.bitwiseAND(F.lit(65535)), 8)), 2, "0"))
+
+    return F.rtrim(F.translate(F.regexp_replace(F.base64(F.unhex(F.array_join(F.transform(v, two_bytes), ""))), r"\s", ""), "+/=", "-_ "))
+
+
+def vector_of(text: Column, size: int | None = None) -> Column:
+    """The 16-bit numbers of vector_text, with zeros up to size for dimensions that came later."""
+    whole = F.rpad(F.translate(text, "-_", "+/"), F.ceil(F.length(text) / 4).cast("int") * 4, "=")
+    h = F.hex(F.unbase64(whole))
+    at = lambda i: F.conv(F.concat(F.substring(h, i * 4 + 3, F.lit(2)), F.substring(h, i * 4 + 1, F.lit(2))), 16, 10).cast("long")
+    n = F.floor(F.length(h) / 4).cast("int")
+    out = F.when(n == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(at(i) > 32767, at(i) - 65536).otherwise(at(i))))
+    return out if size is None else F.concat(out, F.array_repeat(F.lit(0).cast("bigint"), F.greatest(F.lit(0), size - n)))

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prismview.functions.shared import importable
+
+#: Centres that are sent to every task at most (with 1,000 dimensions 512 MB).
+MOST_CENTERS = 1 << 16
+
 
 def kmeans(df: DataFrame, features: list[str], k: int, row_id: str, seed: int = 1, iterations: int = 20) -> DataFrame:
     """row_id, cluster (empty ones dropped, renumbered from 0), dist, rank within the cluster; complete rows only."""
@@ -23,15 +30,29 @@ def kmeans(df: DataFrame, features: list[str], k: int, row_id: str, seed: int =
 
 
 def assign(df: DataFrame, vector: str, centers: DataFrame, row_id: str) -> DataFrame:
-    """row_id, cluster, dist for given centres (cluster, center: a bounded table that is sent to every task)."""
-    rows = centers.collect()
-    best = F.array_min(F.array(*[F.struct(_square(F.col(vector), r["center"]).alias("d"), F.lit(r["cluster"]).alias("c")) for r in rows]))
-    return df.select(row_id, best.alias("b")).select(row_id, F.col("b.c").alias("cluster"), F.col("b.d").alias("dist"))
-
-
-def _square(v: Column, center) -> Column:
-    c = F.array(*[F.lit(float(x)) for x in center])
-    return F.aggregate(F.zip_with(v, c, lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x)
+    """row_id, cluster, dist (squared) for given centres (cluster, center), MOST_CENTERS at most: one matrix is sent to every task. The
+    lower cluster number wins a tie; a null vector has no cluster."""
+    spark = df.sparkSession
+    rows = sorted(centers.select("cluster", "center").limit(MOST_CENTERS + 1).collect(), key=lambda r: r["cluster"])
+    if len(rows) > MOST_CENTERS:
+        raise ValueError(f"over {MOST_CENTERS} centres")
+    importable(spark)
+    held = spark.sparkContext.broadcast((np.array([r["cluster"] for r in rows]), np.array([r["center"] for r in rows], dtype=float)))
+
+    @F.pandas_udf("cluster int, dist double")
+    def nearest(vectors: pd.Series) -> pd.DataFrame:
+        numbers, at = held.value
+        out = pd.DataFrame({"cluster": pd.array([None] * len(vectors), dtype="Int32"), "dist": np.nan})
+        some = np.flatnonzero(vectors.notna().to_numpy())
+        step = max(1, (1 << 22) // max(1, at.size))
+        for lo in range(0, len(some), step):
+            i = some[lo:lo + step]
+            v = np.stack(vectors.iloc[i].to_numpy()).astype(float)
+            d = ((v[:, None, :] - at[None]) ** 2).sum(axis=2)
+            out.iloc[i, 0], out.iloc[i, 1] = numbers[d.argmin(axis=1)], d.min(axis=1)
+        return out
+
+    return df.select(row_id, nearest(vector).alias("b")).select(row_id, F.col("b.cluster").alias("cluster"), F.col("b.dist").alias("dist"))
 
 
 def ranked_in_cluster(df: DataFrame, row_id: str) -> DataFrame:

@@ -80,3 +80,11 @@ def exposure_reference(view: DataFrame, box: tuple[float, float, float, float],
 def prefix_cells(view: DataFrame, rank: str, prefix: int, x: Column, y: Column, box: tuple[float, float, float, float], nx: int, ny: int, least: int = 3) -> DataFrame:
     """Cells of the first ``prefix`` rows of the random order that hold ``least`` rows or more."""
     return hist2d(view.where(F.col(rank) < prefix), x, y, box, nx, ny).where(F.col("n") >= least).select("ix", "iy", "n")
+
+
+def grid_bounds(df: DataFrame, rank: str, tail: float = 0.001, most: int = 20_000) -> DataFrame:
+    """One row: x0, x1, y0, y1, the nearest-rank quantiles of X and Y in every n-th row (about ``most`` rows, or up to twice as many)."""
+    step = max(1, df.count() // most)
+    few = df.where(F.col(rank) % step == 0).agg(F.array_sort(F.collect_list("X")).alias("xs"), F.array_sort(F.collect_list("Y")).alias("ys"))
+    at = lambda a, p: F.get(a, F.floor(p * (F.size(a) - 1) + 0.5).cast("int"))
+    return few.select(*[at(F.col(a), p).alias(n) for n, a, p in (("x0", "xs", tail), ("x1", "xs", 1 - tail), ("y0", "ys", tail), ("y1", "ys", 1 - tail))])

@@ -82,7 +82,8 @@ def budget_sample(df: DataFrame, key: str, seed: int, protected: Column, budget:
     """All protected rows and the first of the others in the seeded order, ``budget`` rows in all (protected rows are always kept)."""
     kept = df.where(protected)
     room = max(0, budget - kept.count())
-    return kept.unionByName(df.where(~F.coalesce(protected, F.lit(False))).orderBy(order_key(F.col(key), seed)).limit(room))
+    rest = ranked(df.where(~F.coalesce(protected, F.lit(False))), [order_key(F.col(key), seed)], "_place", "budget")
+    return kept.unionByName(rest.where(F.col("_place") < room).drop("_place"))
 
 
 def stride_sample(df: DataFrame, rank: str, step: int) -> DataFrame:

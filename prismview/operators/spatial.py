@@ -81,21 +81,26 @@ def typical_gallery(df: DataFrame, selected: Column, dims: list[str], row_id: st
     return s.withColumn("_n", n).where(F.col("_n") >= least_dims).select(row_id, (dist / F.col("_n")).alias("dist")).orderBy("dist", row_id).limit(k)
 
 
+def _ranks(t: Column, v: Column) -> tuple[Column, Column]:
+    """How many entries of t are below v, and how many are v or below."""
+    return F.size(F.filter(t, lambda a: a < v)), F.size(F.filter(t, lambda a: a <= v))
+
+
 def selection_profile(df: DataFrame, selected: Column, tables: dict[str, list[float]], bins: int = 40) -> DataFrame:
     """dim, bin, mass: the selection's histogram in percentile space; a value tied over a run of quantiles spreads its mass evenly
     over the run."""
-    out = None
-    width = 100.0 / bins
+    width, each = 100.0 / bins, []
     for d, q in tables.items():
         t = F.array(*[F.lit(float(v)) for v in q])
         v = F.col(d)
-        below, upto = F.size(F.filter(t, lambda a: a < v)), F.size(F.filter(t, lambda a: a <= v))
+        below, upto = _ranks(t, v)
         inner = below - 1 + (v - F.get(t, below - 1)) / F.nullif(F.get(t, below) - F.get(t, below - 1), F.lit(0.0))
         point = F.when(below == 0, F.lit(0.0)).when(below == len(q), F.lit(float(len(q) - 1))).otherwise(inner)
         tied = upto > below
         p0, p1 = F.when(tied, below.cast("double")).otherwise(point), F.when(tied, (upto - 1).cast("double")).otherwise(point)
         b0, b1 = (F.least(F.floor(p / width), F.lit(bins - 1)).cast("int") for p in (p0, p1))
-        rows = df.where(selected & v.isNotNull()).select(b0.alias("b0"), b1.alias("b1")).groupBy("b0", "b1").agg(F.count("*").alias("n"))
-        one = rows.select(F.lit(d).alias("dim"), F.explode(F.sequence("b0", "b1")).alias("bin"), (F.col("n") / (F.col("b1") - F.col("b0") + 1)).alias("mass"))
-        out = one if out is None else out.union(one)
-    return out.groupBy("dim", "bin").agg(F.sum("mass").alias("mass"))
+        each.append(F.when(v.isNotNull(), F.struct(F.lit(d).alias("dim"), b0.alias("b0"), b1.alias("b1"))))
+    long = df.where(selected).select(F.explode(F.array(*each)).alias("x")).where("x is not null").select("x.*")  # one pass for all dimensions
+    rows = long.groupBy("dim", "b0", "b1").agg(F.count("*").alias("n"))
+    spread = rows.select("dim", F.explode(F.sequence("b0", "b1")).alias("bin"), (F.col("n") / (F.col("b1") - F.col("b0") + 1)).alias("mass"))
+    return spread.groupBy("dim", "bin").agg(F.sum("mass").alias("mass"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from prismview.functions import color
 from prismview.functions import scalars as s
 from prismview.functions import text as tx
 from prismview.functions.shared import table
@@ -547,7 +548,7 @@ def curve_formulas(spark, d):
 
 # ---- space ----------------------------------------------------------------------------------------------------------
 
-_GRID = "(SELECT k AS q, (k % 97) / 16.0::DOUBLE AS px, (k % 89) / 16.0::DOUBLE AS py FROM (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 50 = 1))"
+_GRID = "(SELECT k AS q, (k % 97) / 16.0::DOUBLE AS px, (k % 89) / 16.0::DOUBLE AS py FROM (SELECT o_orderkey AS k FROM orders))"
 _PLANE = "(SELECT p_partkey AS r, (p_partkey % 101) / 16.0::DOUBLE AS x, (p_partkey * 7 % 103) / 16.0::DOUBLE AS y, p_size AS z FROM part)"
 
 
@@ -559,7 +560,7 @@ def _plane(spark, d):
 @query(f"SELECT q, r, d2 FROM (SELECT q, r, (px - x) * (px - x) + (py - y) * (py - y) AS d2, row_number() OVER (PARTITION BY q ORDER BY (px - x) * (px - x) + (py - y) * (py - y), r) AS i FROM {_GRID} JOIN {_PLANE} ON (px - x) * (px - x) + (py - y) * (py - y) <= 0.0625) WHERE i = 1")
 def pick_nearest(spark, d):
     k = F.col("o_orderkey")
-    q = table(spark, d, "orders").where(k % 50 == 1).select(k.alias("q"), (k % 97 / 16.0).alias("px"), (k % 89 / 16.0).alias("py"))
+    q = table(spark, d, "orders").select(k.alias("q"), (k % 97 / 16.0).alias("px"), (k % 89 / 16.0).alias("py"))
     return spatial.pick_nearest(q, _plane(spark, d), 0.25, "q", "r", x="x", y="y")
 
 
@@ -652,9 +653,9 @@ def geodesic_frames(spark, d):
 
 # ---- text -----------------------------------------------------------------------------------------------------------
 
-@query(r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '%[^\n]*', '', 'g'), '[ \t\n\x0b\f\r]+', ' ', 'g'))) AS h, contains(text, 'ing ') AS has FROM documents WHERE NOT contains(text, '\')")
+@query(r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '(^|[^\\])%[^\n]*', '\1', 'g'), '[ \t\n\x0b\f\r]+', ' ', 'g'))) AS h, contains(text, 'ing ') AS has FROM documents")
 def text_stripped(spark, d):
-    return table(spark, d, "documents").where(~F.contains("text", F.lit("\\"))).select("doc_id", F.md5(tx.stripped(F.col("text"))).alias("h"), F.contains("text", F.lit("ing ")).alias("has"))
+    return table(spark, d, "documents").select("doc_id", F.md5(tx.stripped(F.col("text"))).alias("h"), F.contains("text", F.lit("ing ")).alias("has"))
 
 
 @query("SELECT event_id, (json_extract(props, '$.k'))::INTEGER AS k, event_type || '-' || lpad((event_id % 1000)::VARCHAR, 4, '0') AS code FROM events")
@@ -662,6 +663,49 @@ def json_and_ids(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"), F.concat("event_type", F.lit("-"), F.lpad((F.col("event_id") % 1000).cast("string"), 4, "0")).alias("code"))
 
 
+_QT = [round(1 + 49 * (k / 100) ** 2, 3) for k in range(101)]
+_CDF = "CASE WHEN u = 0 THEN 0.0 WHEN u = 101 THEN 100.0 ELSE u - 1 + (x - q[u]) / (q[u + 1] - q[u]) END"
+
+
+@query(f"""WITH t AS (SELECT p_partkey, {_QT} AS q, p_size % 60 AS v FROM part), e AS (SELECT p_partkey, q, v, unnest([0, 1]) AS j FROM t),
+x AS (SELECT p_partkey, q, j, 0.5 + (v - 1.5 + j) * 0.9 AS x FROM e), u AS (SELECT *, len(list_filter(q, lambda a: a <= x)) AS u FROM x),
+c AS (SELECT p_partkey, j, round({_CDF}, 6) AS p FROM u)
+SELECT p_partkey, max(p) FILTER (WHERE j = 0) AS lo, max(p) FILTER (WHERE j = 1) AS hi FROM c GROUP BY p_partkey""")
+def code_intervals(spark, d):
+    """The percentiles that a quantized code covers."""
+    lo, hi = s.code_interval(F.array(*[F.lit(v) for v in _QT]), F.col("p_size") % 60, 0.5, 0.9)
+    return table(spark, d, "part").select("p_partkey", F.round(lo, 6).alias("lo"), F.round(hi, 6).alias("hi"))
+
+
+_I16 = "greatest(-32767, least(32767, floor(x::DOUBLE * 32767 + 0.5)))::BIGINT"
+
+
+@query(f"""SELECT vec_id, translate(rtrim(to_base64(unhex(array_to_string(list_transform(embedding, lambda x: format('{{:02X}}{{:02X}}', (({_I16}) & 255), ((({_I16}) & 65535) >> 8))), ''))), '='), '+/', '-_') AS code,
+  list_transform(embedding, lambda x: {_I16}) AS back FROM embeddings""")
+def packed_vectors(spark, d):
+    """Vectors as base64url text of 16-bit numbers, and what is read back from it."""
+    code = tx.vector_text(F.col("embedding"))
+    return table(spark, d, "embeddings").select("vec_id", code.alias("code")).select("vec_id", "code", tx.vector_of(F.col("code")).alias("back"))
+
+
+_RAMP = ("#0b1d3a", "#3c6e9f", "#e8e3d3", "#c0562e")
+
+
+@query(color.ramp_sql("SELECT o_orderkey, (o_custkey % 41) / 40.0::DOUBLE AS t FROM orders", "o_orderkey", _RAMP))
+def color_ramp(spark, d):
+    """Colours along a ramp that is even in OKLab."""
+    t = (F.col("o_custkey") % 41) / F.lit(40.0)
+    return table(spark, d, "orders").select("o_orderkey", color.ramp(t, _RAMP).alias("color"))
+
+
+@query("""WITH n AS (SELECT greatest(1, count(*) // 20000) AS step FROM orders), t AS (SELECT o_orderkey AS k, (o_totalprice)::DOUBLE AS x, (o_custkey % 977)::DOUBLE AS y FROM orders, n WHERE o_orderkey % step = 0),
+l AS (SELECT list_sort(list(x)) AS xs, list_sort(list(y)) AS ys, count(*) - 1 AS m FROM t)
+SELECT xs[round(0.001 * m)::BIGINT + 1] AS x0, xs[round(0.999 * m)::BIGINT + 1] AS x1, ys[round(0.001 * m)::BIGINT + 1] AS y0, ys[round(0.999 * m)::BIGINT + 1] AS y1 FROM l""")
+def grid_bounds(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").cast("double").alias("X"), (F.col("o_custkey") % 977).cast("double").alias("Y"))
+    return density.grid_bounds(rows, "k")
+
+
 # ---- events ---------------------------------------------------------------------------------------------------------
 
 def _events(spark, d):
