@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismview.functions.shared import importable
+from prismview.functions.shared import importable, ranked
 
 #: Centres that are sent to every task at most (with 1,000 dimensions 512 MB).
 MOST_CENTERS = 1 << 16
@@ -59,6 +59,18 @@ def ranked_in_cluster(df: DataFrame, row_id: str) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy("cluster").orderBy("dist", row_id)))
 
 
+def size_percentiles(df: DataFrame) -> DataFrame:
+    """One row: clusters, and the least, 5 %, median, 95 % and largest number of members."""
+    n = df.groupBy("cluster").agg(F.count("*").alias("n"))
+    return n.agg(F.count("*").alias("clusters"), F.min("n").alias("least"), *[F.percentile("n", p).alias(f"p{round(100 * p)}") for p in (0.05, 0.5, 0.95)], F.max("n").alias("most"))
+
+
+def places(df: DataFrame, chosen: DataFrame, row_id: str, order: list[str]) -> DataFrame:
+    """df with ``place``: where the row stands among the chosen ones in their order, -1 for the others."""
+    listed = ranked(chosen, [F.col(c) for c in order], "_place", "chosen").select(F.col(row_id).alias("_chosen"), "_place")
+    return df.join(listed, df[row_id] == listed["_chosen"], "left").withColumn("place", F.coalesce("_place", F.lit(-1).cast("long"))).drop("_chosen", "_place")
+
+
 def first_fit(df: DataFrame, local: Column, near: int = 5, slack: float = 1.5) -> DataFrame:
     """One row per cluster: among the ``near`` nearest a local one within slack times the nearest distance, else the nearest."""
     c = df.where(F.col("rank") <= near).withColumn("_d0", F.min("dist").over(Window.partitionBy("cluster")))

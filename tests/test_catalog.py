@@ -2,7 +2,7 @@
 
 import pytest
 
-from prismview.plans.catalog import ORACLE_SQL, QUERIES
+from prismview.plans.derived import ORACLE_SQL, QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
