@@ -48,6 +48,7 @@ def chord_to_angle(d: Column) -> Column:
 
 
 def significant(x: Column, digits: int = 6) -> Column:
+    """x to so many digits; a tie in its shortest decimal form goes away from zero."""
     return F.format_string(f"%.{digits}g", x).cast("double")
 
 

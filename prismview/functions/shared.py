@@ -130,3 +130,24 @@ def ranked(df: DataFrame, keys: list[Column], rank: str, name: str = "rank") ->
     starts = spark.createDataFrame(before or [(0, 0)], "_part int, _before long")
     return (held.join(F.broadcast(starts), "_part")  # a row for each partition
             .withColumn(rank, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before"))
+
+
+#: Values whose quantiles one task may work out from a map of them; more are range-sorted.
+IN_A_TASK = 1 << 20
+
+
+def quantiles(df: DataFrame, column: str, ps: list[float], most: int = IN_A_TASK) -> list[float | None]:
+    """Exact quantiles (type 7) of a column of doubles over all rows, null values left out; nulls if there are none.
+
+    Up to ``most`` values are one aggregate. More are sorted by range, and only the order statistics next to the quantiles'
+    places reach the driver, so no task holds more than its range. df should be a written table: it is read twice.
+    """
+    v = df.select(F.col(column).cast("double").alias("v")).where("v is not null")
+    n = v.count()
+    if n <= most:
+        return list(v.agg(F.percentile("v", F.array(*[F.lit(float(p)) for p in ps])).alias("q")).first()["q"] or [None] * len(ps))
+    places = [p * (n - 1) for p in ps]
+    wanted = sorted({k for x in places for k in (int(x), min(int(x) + 1, n - 1))})
+    held = ranked(v, [F.col("v")], "at", "quantiles")
+    at = {r["at"]: r["v"] for r in held.where(F.col("at").isin(wanted)).collect()}  # two rows a quantile
+    return [at[int(x)] + (at[min(int(x) + 1, n - 1)] - at[int(x)]) * (x - int(x)) for x in places]

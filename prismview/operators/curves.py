@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismview.functions.scalars import interpolated
+from prismview.functions.shared import quantiles, settled
 
 
 def polynomial(x: Column, coefficients: list[float]) -> Column:
@@ -99,8 +100,9 @@ def residuals(df: DataFrame, x: Column, y: Column, points: list[tuple[float, flo
 
 def curve_residual(df: DataFrame, x: Column, y: Column, points: list[tuple[float, float]]) -> DataFrame:
     """One row: n and median residual inside the curve's range."""
-    r = residuals(df, x, y, points).where("residual is not null")
-    return r.agg(F.count("*").alias("n"), F.median("residual").alias("mid"))
+    r = settled(residuals(df, x, y, points).where("residual is not null").select(F.col("residual").cast("double").alias("residual")), "curve-residuals")
+    (mid,) = quantiles(r, "residual", [0.5])
+    return r.agg(F.count("*").alias("n"), F.lit(mid).cast("double").alias("mid"))
 
 
 def fit_offset(df: DataFrame, x: Column, y: Column, points: list[tuple[float, float]], least: int = 50) -> DataFrame:

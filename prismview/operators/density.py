@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prismview.functions.shared import quantiles, settled
+
 
 def bin_open(x: Column, lo: float, hi: float, bins: int) -> Column:
     """Bin of x, right edge excluded; null outside."""
@@ -56,10 +58,10 @@ def tone(weight: Column, reference: float, gain: float = 1.0, floor: float = 0.0
 
 def view_bounds(view: DataFrame, least: int = 20) -> DataFrame:
     """One row: 0.5 and 99.5 % of X and Y over shown rows; the box -3..3 below ``least`` rows."""
-    q = F.array(F.lit(0.005), F.lit(0.995))
-    r = view.where("vis >= 77").agg(F.percentile("X", q).alias("x"), F.percentile("Y", q).alias("y"), F.count("*").alias("n"))
-    pick = lambda c, i, d: F.when(F.col("n") >= least, F.get(F.col(c), F.lit(i))).otherwise(F.lit(d))
-    return r.select("n", pick("x", 0, -3.0).alias("x_lo"), pick("x", 1, 3.0).alias("x_hi"), pick("y", 0, -3.0).alias("y_lo"), pick("y", 1, 3.0).alias("y_hi"))
+    shown = settled(view.where("vis >= 77").select("X", "Y"), "view-bounds")
+    n = shown.count()
+    (x0, x1), (y0, y1) = (quantiles(shown, c, [0.005, 0.995]) if n >= least else (-3.0, 3.0) for c in ("X", "Y"))
+    return view.sparkSession.createDataFrame([(n, x0, x1, y0, y1)], "n long, x_lo double, x_hi double, y_lo double, y_hi double")
 
 
 def exposure_reference(view: DataFrame, box: tuple[float, float, float, float], nx: int, ny: int, rows: int, kernel: float = 1.0) -> DataFrame:

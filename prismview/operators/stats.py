@@ -7,6 +7,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prismview.functions.shared import forget, quantiles, settled
+
 
 def pearson(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """a, b, n, r for each pair over the rows where both are present; null below 3 rows, 0 where one doesn't vary."""
@@ -44,16 +46,21 @@ def r_squared(df: DataFrame, xs: list[str], y: str) -> float:
 
 
 def robust_fit(df: DataFrame, terms: list[Column], y: Column, clip: float = 5.0, rounds: int = 4) -> tuple[np.ndarray, float]:
-    """(coefficients, robust sigma) of least squares with rows beyond clip sigmas left out, four rounds; a pass per round."""
-    d, sigma, beta = df, float("nan"), np.zeros(len(terms))
+    """(coefficients, robust sigma) of least squares with rows beyond clip sigmas left out, four rounds; the terms are written
+    once, and each round reads them for the sums and writes its residuals for the quantiles."""
+    names = [f"t{i}" for i in range(len(terms))]
+    held = settled(df.select(*[t.cast("double").alias(n) for t, n in zip(terms, names, strict=True)], y.cast("double").alias("y")), "robust-terms")
+    cols, d, sigma, beta, before = [F.col(n) for n in names], held, float("nan"), np.zeros(len(terms)), None
     for _ in range(rounds):
-        m, v, *_ = gram(d, terms, y)
+        m, v, *_ = gram(d, cols, F.col("y"))
         beta = np.linalg.lstsq(m, v, rcond=None)[0]
-        fit = sum((F.lit(float(b)) * t for b, t in zip(beta, terms, strict=True)), F.lit(0.0))
-        r = df.withColumn("_r", y - fit)
-        mid = r.agg(F.median("_r").alias("m")).first()["m"]
-        sigma = 1.4826 * (r.agg(F.median(F.abs(F.col("_r") - F.lit(mid))).alias("s")).first()["s"] or 0.0)
-        d = r.where(F.abs("_r") < clip * sigma).drop("_r") if sigma > 0 else df
+        fit = sum((F.lit(float(b)) * c for b, c in zip(beta, cols, strict=True)), F.lit(0.0))
+        r = settled(held.withColumn("_r", F.col("y") - fit), "robust-residuals")
+        forget(*filter(None, [before]))
+        (mid,) = quantiles(r, "_r", [0.5])
+        sigma = 1.4826 * (quantiles(r.select(F.abs(F.col("_r") - F.lit(mid)).alias("_r")), "_r", [0.5])[0] or 0.0)
+        d, before = r.where(F.abs("_r") < clip * sigma) if sigma > 0 else held, r
+    forget(*filter(None, [before]), held)
     return beta, sigma
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prismview.functions.shared import quantiles, settled
 from prismview.operators.density import bin_closed, bin_open
 
 BAND = (0.16, 0.5, 0.84)
@@ -42,7 +43,7 @@ def running_median_midx(df: DataFrame, x: str, y: str, edges: list[float], least
 def equal_groups(df: DataFrame, value: str, groups: int) -> tuple[DataFrame, list[float], list[float]]:
     """df with ``group`` (0..groups-1; a value on an edge goes up; null stays null), the inner edges, the group medians."""
     q = [k / groups for k in range(1, groups)] + [(k + 0.5) / groups for k in range(groups)]
-    got = df.agg(F.percentile(value, F.array(*[F.lit(p) for p in q])).alias("q")).first()["q"]
+    got = quantiles(settled(df.select(value), "group-values"), value, q)
     edges, mids = list(got[:groups - 1]), list(got[groups - 1:])
     group = sum((F.when(F.col(value) >= F.lit(e), 1).otherwise(0) for e in edges), F.lit(0))
     return df.withColumn("group", F.when(F.col(value).isNotNull(), group)), edges, mids
@@ -109,14 +110,14 @@ def running_scatter(df: DataFrame, x: str, y: str, bins: int = 24, least: int =
     The range of x runs between order statistics (floor and ceiling of the places of 1 and 99 %), not between
     interpolated quantiles. Empty bins are filled from their neighbours, the curve is linear between bin centres.
     """
-    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y"))
+    d = settled(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y")), "scatter")
     n = d.count()
     if n < 2:
         return d.agg(F.count("*").alias("n"), F.lit(None).cast("double").alias("sigma"))
     import math
 
     places = [math.floor(0.01 * (n - 1)), math.ceil(0.99 * (n - 1))]
-    lo, hi = d.agg(F.percentile("x", F.array(*[F.lit(p / (n - 1)) for p in places])).alias("q")).first()["q"]
+    lo, hi = quantiles(d, "x", [p / (n - 1) for p in places])
     if hi <= lo:
         return d.agg(F.count("*").alias("n"), F.lit(None).cast("double").alias("sigma"))
     w = (hi - lo) / bins
@@ -130,9 +131,10 @@ def running_scatter(df: DataFrame, x: str, y: str, bins: int = 24, least: int =
     values = F.array(*[F.lit(float(v)) for v in curve])
     j = F.least(F.floor(at).cast("int"), F.lit(bins - 2))
     fit = F.get(values, j) + (F.get(values, j + 1) - F.get(values, j)) * (at - j)
-    r = d.where(F.col("x").between(lo, hi)).select((F.col("y") - fit).alias("r"))
-    mid = r.agg(F.median("r").alias("m")).first()["m"]
-    return r.agg(F.count("*").alias("n"), (1.4826 * F.median(F.abs(F.col("r") - F.lit(mid)))).alias("sigma"))
+    r = settled(d.where(F.col("x").between(lo, hi)).select((F.col("y") - fit).alias("r")), "scatter-residuals", d)
+    (mid,) = quantiles(r, "r", [0.5])
+    (mad,) = quantiles(r.select(F.abs(F.col("r") - F.lit(mid)).alias("r")), "r", [0.5])
+    return r.agg(F.count("*").alias("n"), F.lit(1.4826 * mad).alias("sigma"))
 
 
 def isotonic(df: DataFrame, x: str, y: str, weight: str | None = None, increasing: bool = True) -> DataFrame:

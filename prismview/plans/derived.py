@@ -26,14 +26,14 @@ def _six(**named) -> list:
   round(CASE WHEN c_custkey % 7 > 1 THEN c_acctbal / ((c_custkey % 7 - 1) * 1.25::DOUBLE) ELSE 0 END, 6) AS sn,
   round(CASE WHEN c_acctbal > 0 AND c_custkey % 5 > 0 AND c_custkey % 3 > 0 THEN log10(c_acctbal / (c_custkey % 5)) END, 6) AS ratio,
   round(CASE WHEN c_acctbal > 0 AND c_custkey % 11 > 0 THEN log10(c_acctbal * pow(3.0::DOUBLE / (c_custkey % 11), 1.3::DOUBLE)) END, 6) AS corrected,
-  format('{:.3g}', c_acctbal)::DOUBLE AS short, least(greatest(c_acctbal, 0.0::DOUBLE), 5000.0::DOUBLE) AS clamped FROM customer""")
+  format('{:.6g}', c_acctbal / 7)::DOUBLE AS short, least(greatest(c_acctbal, 0.0::DOUBLE), 5000.0::DOUBLE) AS clamped FROM customer""")
 def cleaned_values(spark, d):
     """Missing values by strict and closed ranges, signal to noise, guarded log ratio, aperture correction, significant digits, clamp."""
     k, v = F.col("c_custkey"), F.col("c_acctbal")
     return table(spark, d, "customer").select(
         k, s.finite_within(v, 0.0, 9000.0).alias("strict"), s.in_range(v, 0.0, 9000.0).alias("closed"),
         *_six(sn=s.signal_to_noise(v, k % 7 - 1, 1.25), ratio=s.log_ratio(v, k % 5, k % 3 > 0), corrected=s.aperture_corrected(v, (k % 11).cast("double"), 3.0, 1.3)),
-        s.significant(v, 3).alias("short"), s.clamp(v, 0.0, 5000.0).alias("clamped"))
+        s.significant(v / 7).alias("short"), s.clamp(v, 0.0, 5000.0).alias("clamped"))
 
 
 @query("""WITH v AS (SELECT o_orderkey AS k, radians(o_orderkey % 360) AS a, radians(o_custkey % 90) AS d FROM orders)

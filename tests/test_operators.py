@@ -148,3 +148,16 @@ def test_sketched_statistics_are_near_the_exact_ones(spark):
     df = spark.range(20_000).select((F.col("id") * 7919 % 20_000 / 20_000).alias("x"))
     a, b = encode.dim_stats(df, ["x"]).first(), encode.dim_stats(df, ["x"], accuracy=2000).first()
     assert abs(a["center"] - b["center"]) < 0.002 and abs(a["scale"] - b["scale"]) < 0.004
+
+
+def test_quantiles_by_range_equal_the_aggregate(spark):
+    from pyspark.sql import functions as F
+
+    from prismview.functions.shared import quantiles
+
+    d = spark.range(5000).select(F.when(F.col("id") % 7 > 0, F.when(F.col("id") % 3 == 0, F.lit(1.5)).otherwise((F.col("id") * 7919 % 1009) / F.lit(13.0))).alias("v"))
+    ps = [0.0, 0.005, 0.25, 0.5, 0.613, 0.995, 1.0]
+    small = quantiles(d, "v", ps)
+    assert quantiles(d, "v", ps, most=0) == pytest.approx(small, rel=1e-12)
+    assert quantiles(d.limit(0), "v", [0.5]) == [None]
+    assert quantiles(d.where("v is null"), "v", [0.5, 0.9], most=0) == [None, None]
