@@ -96,17 +96,65 @@ def assert_packed(rows, capacity):
 
 
 def test_op6_holds_out(spark):
-    """Trained on the labels of even documents, right on those of odd ones."""
+    """Trained on the quality labels of even documents, right on those of odd ones."""
     from pyspark.sql import functions as F
 
-    from prismview.llm.quality_classifier import good_labels, quality_classifier
+    from prismview.llm.quality_classifier import quality_classifier
     d = "/root/testdata/sf0.01"
-    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), good_labels(spark, d)
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet").select("doc_id", (F.col("quality") == 1).alias("good"))
     got = quality_classifier(docs, labels.where("doc_id % 2 = 0")).join(labels.where("doc_id % 2 = 1"), "doc_id")
     right = got.agg(F.avg(F.when(F.col("kept") == F.col("good"), 1.0).otherwise(0.0)).alias("a"), F.avg(F.when(F.col("good"), F.col("kept").cast("int"))).alias("g")).first()
     assert right["a"] > 0.95 and right["g"] > 0.97
 
 
+def test_op6_holds_out_toxic_documents(spark):
+    """Trained on the labels of even documents: English toxic documents with odd ids go, whatever their quality, and clean ones stay."""
+    from pyspark.sql import functions as F
+
+    from prismview.llm.quality_classifier import good_labels, quality_classifier
+    d = "/root/testdata/sf0.1"
+    docs, raw = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet").where("doc_id % 2 = 1")
+    got = quality_classifier(docs, good_labels(spark, d).where("doc_id % 2 = 0")).join(raw, "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
+    kept = F.col("kept").cast("int")
+    r = got.agg(F.avg(F.when((F.col("toxic") == 1) & (F.col("lang") == "en"), kept)).alias("toxic"), F.avg(F.when((F.col("toxic") == 0) & (F.col("quality") == 1), kept)).alias("clean")).first()
+    assert r["toxic"] < 0.05 and r["clean"] > 0.99
+
+
+def test_op6_word_levels_brute_force(spark):
+    """Counts of every word over the labelled documents, less a document's own label, weighed one by one."""
+    import math
+    import random
+    import zlib
+
+    from prismview.llm import quality_classifier as qc
+    rng = random.Random(6)
+    common = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(rng.choices(common, k=30) + (["Vile!", "(scum)"] if i % 4 == 0 and i % 12 else [])), None if i % 7 == 0 else i % 4 != 0) for i in range(400)] + [(None, None, None), (400, "", False)]
+    of = {i: {zlib.crc32(x.lower().strip("!()").encode()) % qc.BUCKETS for x in (t or "").split()} for i, t, _ in rows}
+    good, bad = {}, {}
+    for i, _, g in rows:
+        for b in of[i] if g is not None else ():
+            (good if g else bad).setdefault(b, set()).add(i)
+    mean = sum(map(len, bad.values())) / (sum(map(len, bad.values())) + sum(map(len, good.values())))
+    want = {}
+    for i, _, _ in rows:
+        total = 0.0
+        for b in of[i]:
+            x, y = len(good.get(b, set()) - {i}), len(bad.get(b, set()) - {i})
+            n = x + y + 20
+            r = (y + 20 * mean) / n
+            low = r - 3 * math.sqrt(r * (1 - r) / (n + 1))
+            weight = math.log(low / (1 - low)) - math.log(mean / (1 - mean)) if 0 < low < 1 else 0
+            total += weight if weight >= qc.TELLING else 0
+        want[i] = math.ceil(math.log2(1 + 4 * total))
+    df = spark.createDataFrame([(i, t, int(g is True), int(g is False)) for i, t, g in rows], "k long, t string, n_good long, n_bad long")
+    seen = qc.measured(df, ["k", "n_good", "n_bad"], "t").cache()
+    told, m = qc.telling_buckets(seen.where("n_good + n_bad > 0"))
+    assert abs(m - mean) < 1e-12
+    got = {r["k"]: r["word_level"] for r in qc.word_levels(seen, told, m, ["k"]).collect()}
+    assert got == want and {want[0], want[12]} == {0} and want[4] > 2 and want[28] > 2
+
+
 def least_repair(roles):
     """The least cost over all ways to name the turns of a conversation; roles: None for unknown, else 0, 1, 2."""
     from itertools import product
