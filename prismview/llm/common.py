@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +68,50 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         label = now
 
 
+#: Strips on either side of the limit in ``beta_above``.
+STRIPS = 96
+
+
+def beta_above(a: Column, b: Column, limit: float) -> Column:
+    """Probability that a rate with the posterior Beta(a, b) is over limit, for a and b over 0.
+
+    As a function of t = log(x / (1 - x)) the density is x^a (1 - x)^b up to a factor: smooth, with its peak at log(a / b) and
+    tails that fall like exp(a t) and exp(-b t). Each side of the limit, out to where the density is nil, is the trapezoid sum of
+    ``STRIPS`` strips; the ratio needs no gamma function.
+    """
+    at = math.log(limit / (1 - limit))
+    peak, wide = F.log(a / b), 10 * F.sqrt((a + b) / (a * b))
+    ends = (peak - F.greatest(wide, 40 / a), peak + F.greatest(wide, 40 / b))
+    top = a * F.log(a / (a + b)) + b * F.log(b / (a + b))
+
+    def side(end: Column) -> Column:
+        def height(k: Column) -> Column:
+            t = at + (end - at) * k / STRIPS
+            bend = F.log1p(F.exp(-F.abs(t)))  # log x = min(t, 0) - bend, log (1 - x) = min(-t, 0) - bend
+            return F.exp(a * (F.least(t, F.lit(0.0)) - bend) + b * (F.least(-t, F.lit(0.0)) - bend) - top) * F.when((k == 0) | (k == STRIPS), 0.5).otherwise(1.0)
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(STRIPS)), F.lit(0.0), lambda s, k: s + height(k)) * F.abs(end - at) / STRIPS
+
+    below, above = (side(e) for e in ends)
+    return F.when(ends[0] >= at, 1.0).when(ends[1] <= at, 0.0).otherwise(above / (below + above))
+
+
+def beta_above_sql(a: str, b: str, limit: float) -> str:
+    """``beta_above`` in the SQL that the queries are held against."""
+    at = math.log(limit / (1 - limit))
+    wide = f"10 * sqrt(({a} + {b}) / ({a} * {b}))"
+    left, right = f"(ln({a} / {b}) - greatest({wide}, 40 / ({a})))", f"(ln({a} / {b}) + greatest({wide}, 40 / ({b})))"
+    top = f"({a} * ln({a} / ({a} + {b})) + {b} * ln({b} / ({a} + {b})))"
+
+    def side(end: str) -> str:
+        t = f"({at} + ({end} - {at}) * k / {STRIPS})"
+        bend = f"ln(1 + exp(-abs({t})))"
+        return (f"(list_sum(list_transform(range({STRIPS + 1}), lambda k: exp({a} * (least({t}, 0) - {bend}) + {b} * (least(-{t}, 0) - {bend}) - {top})"
+                f" * CASE WHEN k IN (0, {STRIPS}) THEN 0.5 ELSE 1 END)) * abs({end} - {at}))")
+
+    return f"(CASE WHEN {left} >= {at} THEN 1.0 WHEN {right} <= {at} THEN 0.0 ELSE {side(right)} / ({side(left)} + {side(right)}) END)"
+
+
 def beta_strength(units: DataFrame, n: str, bad: str, low: float = 1.0, high: float = 1000.0) -> tuple[float, float]:
     """(mean, strength) of the beta prior from which the units' rates come, by the method of moments.
 

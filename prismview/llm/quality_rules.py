@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismview.llm.common import SPACE_RE, beta_strength, let, settled, table, words
+from prismview.llm.common import SPACE_RE, beta_above, beta_above_sql, beta_strength, let, settled, table, words
 
 
 def _windows(w: Column, n: Column, width: int) -> Column:
@@ -35,7 +35,7 @@ def _covered(wins: Column, width: int) -> Column:
 def rule_counts(docs: DataFrame, text: str = "text", width: int = 5) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words for the whole text.
 
-    Windows are compared by their 64-bit hash within one text. The exact cover of the repeats is worked out
+    Windows are compared by their 64-bit hash within one text, so the counts are exact up to a collision of hashes. The exact cover of the repeats is worked out
     only where a text has a repeated window at all.
     """
     t = F.coalesce(F.col(text), F.lit(""))
@@ -49,16 +49,18 @@ def rule_counts(docs: DataFrame, text: str = "text", width: int = 5) -> DataFram
     return two.withColumn("n_repeat_words", F.when(some, _covered(F.col("_win"), width)).otherwise(F.lit(0).cast("long"))).drop("_win")
 
 
-def host_verdicts(counts: DataFrame, host: str, failed: str, limit: float = 0.5, z: float = 1.645) -> DataFrame:
-    """host, n, bad, rate, low, rejected: each host's failure rate shrunk to the prior of all hosts.
+def host_verdicts(counts: DataFrame, host: str, failed: str, limit: float = 0.5, sure: float = 0.95) -> DataFrame:
+    """host, n, bad, rate, over, rejected: each host's failure rate shrunk to the prior of all hosts.
 
-    A host is rejected where the lower bound of its posterior rate (normal approximation, z) is over limit.
+    A host is rejected where its posterior rate is over limit with a probability (over) above sure: the lower bound of the
+    beta posterior is over limit.
     """
     units = settled(counts.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n"), F.count_if(F.col(failed)).alias("bad")), "hosts")
     mean, strength = beta_strength(units, "n", "bad")
     rate = (F.col("bad") + F.lit(mean * strength)) / (F.col("n") + F.lit(strength))
-    low = F.col("rate") - z * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + F.lit(strength + 1)))
-    return units.withColumn("rate", rate).withColumn("low", low).withColumn("rejected", F.col("low") > limit)
+    weight = F.col("n") + F.lit(strength)
+    over = F.when(F.col("rate") <= 0, 0.0).when(F.col("rate") >= 1, 1.0).otherwise(beta_above(F.col("rate") * weight, (1 - F.col("rate")) * weight, limit))
+    return units.withColumn("rate", rate).withColumn("over", over).withColumn("rejected", F.col("over") > sure)
 
 
 def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", limit: float = 0.5) -> DataFrame:
@@ -83,7 +85,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-SQL = r"""
+SQL = rf"""
 WITH w AS (
   SELECT doc_id, source, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
   FROM documents),
@@ -106,8 +108,8 @@ sums AS (SELECT count(*)::DOUBLE AS h, sum(n)::DOUBLE AS n, sum(bad)::DOUBLE AS
 prior AS (
   SELECT x / n AS mean, CASE WHEN x <= 0 OR x >= n THEN 1000.0 ELSE
     1 / least(0.5, greatest(1 / 1001.0, ((q / n - x / n * x / n) / (x / n * (1 - x / n)) - h / n) / (1 - h / n))) - 1 END AS m FROM sums),
-post AS (SELECT source, n, (bad + mean * m) / (n + m) AS rate, m FROM hosts, prior),
-verdict AS (SELECT source, rate - 1.645 * sqrt(rate * (1 - rate) / (n + m + 1)) > 0.5 AS rejected FROM post)
+post AS (SELECT source, (bad + mean * m) / (n + m) AS rate, bad + mean * m AS a, n - bad + (1 - mean) * m AS b FROM hosts, prior),
+verdict AS (SELECT source, (CASE WHEN rate <= 0 THEN 0.0 WHEN rate >= 1 THEN 1.0 ELSE {beta_above_sql('a', 'b', 0.5)} END) > 0.95 AS rejected FROM post)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND NOT rejected) AS kept
 FROM base JOIN verdict ON base.source IS NOT DISTINCT FROM verdict.source
 """

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismview.llm.common import ascii_lower, beta_strength, settled, table
+from prismview.llm.common import ascii_lower, beta_above, beta_above_sql, beta_strength, settled, table
 
 #: The rules of the production list: (host and path, verdict).
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
@@ -58,19 +58,20 @@ def reputation(hosts: DataFrame) -> DataFrame:
     return h.join(d, "domain").select("host", "n", rate.alias("rate"), F.lit(mh).alias("strength"))
 
 
-def url_filters(pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float = 0.5, z: float = 1.645) -> DataFrame:
+def url_filters(pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float = 0.5, sure: float = 0.95) -> DataFrame:
     """page_id, host, path, rule, verdict for every page.
 
-    outcomes: page_id and bad (boolean), the labelled pages. Where no rule fits, a page is blocked if the lower
-    bound of its host's posterior rate of bad pages is over limit.
+    outcomes: page_id and bad (boolean), the labelled pages. Where no rule fits, a page is blocked if its
+    host's posterior rate of bad pages is over limit with a probability over sure, that is, if the posterior's lower bound is.
     """
     host, path = url_parts(F.col("url"))
     parts = pages.select("page_id", host.alias("host"), path.alias("path"))
     seen = parts.join(outcomes.select(F.col("page_id").alias("_id"), F.col("bad").alias("_bad")), F.col("page_id") == F.col("_id"), "left")
     hosts = seen.groupBy("host").agg(F.count("_bad").alias("n"), F.count_if("_bad").alias("bad"))
-    r = F.col("rate")
-    low = r - z * F.sqrt(r * (1 - r) / (F.col("n") + F.col("strength") + 1))
-    judged = settled(reputation(hosts).select(F.col("host").alias("_host"), F.when(low > limit, "block").otherwise("allow").alias("_verdict")), "url-verdicts")
+    known = reputation(hosts).withColumn("weight", F.col("n") + F.col("strength"))
+    over = (F.when(F.col("rate") <= 0, 0.0).when(F.col("rate") >= 1, 1.0)
+            .otherwise(beta_above(F.col("rate") * F.col("weight"), (1 - F.col("rate")) * F.col("weight"), limit)))
+    judged = settled(known.select(F.col("host").alias("_host"), F.when(over > sure, "block").otherwise("allow").alias("_verdict")), "url-verdicts")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     return (parts.join(judged, parts["host"] == judged["_host"], "left")
             .select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, "_verdict").alias("verdict")))
@@ -111,7 +112,8 @@ m AS (SELECT {_strength('s', 'sn', 'sb')} AS ms, {_strength('d', 'dn', 'db')} AS
 s2 AS (SELECT suffix, (sb + mean * ms) / (sn + ms) AS rs FROM s, m),
 d2 AS (SELECT domain, (db + md * rs) / (dn + md) AS rd FROM d JOIN s2 USING (suffix), m),
 h4 AS (SELECT host, n, (bad + mh * rd) / (n + mh) AS rate, mh FROM h JOIN d2 USING (domain), m),
-v AS (SELECT host, CASE WHEN rate - 1.645 * sqrt(rate * (1 - rate) / (n + mh + 1)) > 0.5 THEN 'block' ELSE 'allow' END AS verdict FROM h4)
+h5 AS (SELECT host, rate, rate * (n + mh) AS a, (1 - rate) * (n + mh) AS b FROM h4),
+v AS (SELECT host, CASE WHEN (CASE WHEN rate <= 0 THEN 0.0 WHEN rate >= 1 THEN 1.0 ELSE {beta_above_sql('a', 'b', 0.5)} END) > 0.95 THEN 'block' ELSE 'allow' END AS verdict FROM h5)
 SELECT page_id, host, path, rule, coalesce(said, verdict) AS verdict
 FROM parts LEFT JOIN fit USING (host, path) JOIN v USING (host)
 """

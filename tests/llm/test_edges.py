@@ -208,6 +208,23 @@ def test_op5_scans_only_unseen_blobs(docs):
     assert secret_scans.scan_ledger(docs, ledger=ledger).count() == docs.select(secret_scans.address(F.col("text"))).distinct().count()
 
 
+def test_beta_above(spark):
+    """Against the binomial identity for whole numbers, and far tails."""
+    from math import comb
+
+    from prismview.llm.common import beta_above
+    from pyspark.sql import functions as F
+    cases = [(a, b) for a in (1, 2, 7, 40) for b in (1, 3, 12, 60)]
+    for limit in (0.3, 0.5, 0.9):
+        got = spark.createDataFrame([(float(a), float(b)) for a, b in cases], "a double, b double").select("a", "b", beta_above(F.col("a"), F.col("b"), limit).alias("p")).collect()
+        for r in got:
+            n = int(r["a"] + r["b"]) - 1
+            want = sum(comb(n, k) * limit ** k * (1 - limit) ** (n - k) for k in range(int(r["a"])))
+            assert abs(r["p"] - want) < 0.01, (r, limit, want)
+    far = spark.createDataFrame([(1e6, 1e3), (1e3, 1e6), (5e5, 5e5), (1e-3, 5.0), (5.0, 1e-3)], "a double, b double").select(beta_above(F.col("a"), F.col("b"), 0.5).alias("p")).collect()
+    assert [round(r["p"], 2) for r in far] == [1.0, 0.0, 0.5, 0.0, 1.0]
+
+
 def test_op6(docs, none, spark):
     labels = spark.createDataFrame([(5, True), (5, False), (4, True), (None, True), (6, None)], "doc_id long, good boolean")
     assert quality_classifier.quality_classifier(docs, labels).count() == len(rows())
