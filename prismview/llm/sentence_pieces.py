@@ -155,7 +155,10 @@ def decoded(tokens: DataFrame, model: str, ids: str = "ids", text: str = "decode
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = piece_table(model)
         for b in batches:
-            texts = [x if x is None else pieces.decode(x) for x in b.column(at).to_pylist()]
+            held = b.column(at)
+            flat, ends = held.values.to_numpy(), held.offsets.to_numpy()
+            spans = zip(held.is_valid().to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)
+            texts = [pieces.decode(flat[i:j].tolist()) if there else None for there, i, j in spans]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*names, text])
 
     return tokens.mapInArrow(run, T.StructType([*tokens.schema, T.StructField(text, T.StringType())]))
