@@ -58,7 +58,8 @@ class PieceTable:
             self.matches.add_word(p, (i, len(p)))
         self.matches.make_automaton()
         self.parts = re.compile(f"{MARK}*[^{MARK}]*" if not any(MARK in p.lstrip(MARK) for _, p in pieces) else r"[\s\S]*")
-        self.pairs: dict[tuple[int | None, int], bool] = {}
+        self.size = m.get_piece_size()
+        self.pairs: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
         if len(self.byte) < 256 or any(m.is_unused(i) for i, _ in pieces) or any(self.ids(t) != m.encode(t) for t in SAMPLES):
             raise ValueError(f"{path} isn't a model of merging pieces with bytes as the last resort")
@@ -73,39 +74,38 @@ class PieceTable:
             k = min(found)[1]
             parts[k:k + 2] = [parts[k] + parts[k + 1]]
 
-    def compatible(self, last: int | None, piece: int) -> bool:
-        """Whether a piece can follow the last one; None stands for the start and for bytes."""
-        known = self.pairs.get((last, piece))
-        if known is None:
-            if len(self.pairs) >= self.PAIRS:
-                self.pairs.clear()
-            want = [self.text[piece]] if last is None else [self.text[last], self.text[piece]]
-            known = self.pairs[last, piece] = self.merged("".join(want)) == want
+    def compatible(self, last: int, piece: int) -> bool:
+        """Whether a piece can follow the last one; -1 stands for the start and for bytes."""
+        if len(self.pairs) >= self.PAIRS:
+            self.pairs.clear()
+        want = [self.text[piece]] if last < 0 else [self.text[last], self.text[piece]]
+        known = self.pairs[last * self.size + piece] = self.merged("".join(want)) == want
         return known
 
-    def last_pieces(self, word: str) -> list[tuple[int, int] | None]:
-        """For each prefix of a word its last piece and that one's length; None for the empty one and after a character without a piece."""
-        last: list[tuple[int, int] | None] = [None] * (len(word) + 1)
-        compatible = self.compatible
-        for end, match in self.matches.iter(word):
+    def last_pieces(self, word: str) -> tuple[list[int], list[int]]:
+        """For each prefix of a word its last piece and that one's length; -1 and 0 for the empty one and after a character without a piece."""
+        last, length = [-1] * (len(word) + 1), [0] * (len(word) + 1)
+        known, size, compatible = self.pairs.get, self.size, self.compatible
+        for end, (piece, n) in self.matches.iter(word):
             end += 1
-            if last[end] is None:
-                before = last[end - match[1]]
-                if compatible(before and before[0], match[0]):
-                    last[end] = match
-        return last
+            if not length[end]:
+                before = last[end - n]
+                fits = known(before * size + piece)
+                if compatible(before, piece) if fits is None else fits:
+                    last[end], length[end] = piece, n
+        return last, length
 
     def encoded(self, word: str) -> bytes:
         """Ids of a word as native 32-bit numbers."""
-        last, at, out = self.last_pieces(word), len(word), array("i")
+        last, length = self.last_pieces(word)
+        at, out = len(word), array("i")
         while at:
-            if last[at] is None:
+            if length[at]:
+                out.append(last[at])
+                at -= length[at]
+            else:
                 at -= 1
                 out.extend(self.byte[b] for b in reversed(word[at].encode()))
-            else:
-                piece, length = last[at]
-                out.append(piece)
-                at -= length
         out.reverse()
         return out.tobytes()
 

@@ -42,13 +42,13 @@ def test_runs_of_equal_scores(pieces):
 
 def test_each_prefix_has_one_last_piece(pieces):
     word = "▁internationalisation中\U0001D11Eofhyperbolic----thethethe"
-    last = pieces.last_pieces(word)
+    last, length = pieces.last_pieces(word)
     for end in range(1, len(word) + 1):
         own = pieces.merged(word[:end])[-1]
-        assert (pieces.text[last[end][0]] if last[end] else word[end - 1]) == own
-        if last[end]:
-            fits = [m for e, m in pieces.matches.iter(word) if e + 1 == end and pieces.compatible((b := last[end - m[1]]) and b[0], m[0])]
-            assert fits == [last[end]]
+        assert (pieces.text[last[end]] if length[end] else word[end - 1]) == own
+        if length[end]:
+            fits = [m for e, m in pieces.matches.iter(word) if e + 1 == end and pieces.compatible(last[end - m[1]], m[0])]
+            assert fits == [(last[end], length[end])]
 
 
 def test_a_text_without_blanks_takes_linear_time(pieces):
