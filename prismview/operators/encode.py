@@ -7,8 +7,9 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prismview.functions.quantiles import COUNT, VALUE, group_quantiles, largest_group, quantiles_of, value_counts
 from prismview.functions.scalars import decoded, quantized
-from prismview.functions.shared import ranked
+from prismview.functions.shared import IN_A_TASK, ranked
 from prismview.spec import CatSpec, DimSpec
 
 MAD = 1.4826
@@ -19,28 +20,26 @@ def long_form(df: DataFrame, dims: list[str]) -> DataFrame:
     return df.select(F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).cast("double").alias("value")) for d in dims])).alias("x")).select("x.*").where("value is not null and not isnan(value)")
 
 
-def quantile(value: Column, p: float | Column, accuracy: int | None = None) -> Column:
-    """Exact quantile (type 7; a group's distinct values are kept in memory), or with an accuracy a sketch of bounded size that
-    is merged across partitions: for dimensions with too many distinct values."""
-    p = p if isinstance(p, Column) else F.lit(p)
-    return F.percentile(value, p) if accuracy is None else F.percentile_approx(value, p, accuracy)
-
-
-def dim_stats(df: DataFrame, dims: list[str], accuracy: int | None = None) -> DataFrame:
+def dim_stats(df: DataFrame, dims: list[str], most: int = IN_A_TASK) -> DataFrame:
     """dim, n, lo, hi, center (median), scale (1.4826 times the median deviation; the population deviation if that is 0).
 
-    accuracy: see quantile."""
-    v = long_form(df, dims)
-    m = v.groupBy("dim").agg(quantile(F.col("value"), 0.5, accuracy).alias("center"))
-    d = v.join(F.broadcast(m), "dim")  # a row for each dimension
-    return (d.groupBy("dim").agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.first("center").alias("center"),
-                                 quantile(F.abs(F.col("value") - F.col("center")), 0.5, accuracy).alias("mad"), F.stddev_pop("value").alias("sd"))
-            .select("dim", "n", "lo", "hi", "center", F.when(F.col("mad") > 1e-12, MAD * F.col("mad")).otherwise(F.col("sd")).alias("scale")))
-
-
-def quantile_table(df: DataFrame, dims: list[str], parts: int = 100, accuracy: int | None = None) -> DataFrame:
-    """dim, k, q: the quantiles at k / parts."""
-    q = long_form(df, dims).groupBy("dim").agg(quantile(F.col("value"), F.array(*[F.lit(k / parts) for k in range(parts + 1)]), accuracy).alias("q"))
+    df is read once; all else works on the different values of each dimension with their numbers. most: see ``quantiles_of``."""
+    counts = value_counts(long_form(df, dims), ["dim"], "value")
+    largest = largest_group(counts)
+    center = quantiles_of(counts, [0.5], most, largest).select("dim", F.get("q", F.lit(0)).alias("center"))
+    off = F.col(VALUE) - F.col("center")
+    d = counts.join(F.broadcast(center), "dim").withColumns({"off": off, "far": F.abs(off)})  # a row for each dimension
+    far = d.select("dim", F.col("far").alias(VALUE), COUNT) if largest <= most else value_counts(d, ["dim"], "far", COUNT)
+    mad = quantiles_of(far, [0.5], most, largest).select("dim", F.get("q", F.lit(0)).alias("mad"))
+    mean = F.sum(F.col("off") * F.col(COUNT)) / F.sum(COUNT)
+    sd = F.sqrt(F.greatest(F.sum(F.col("off") * F.col("off") * F.col(COUNT)) / F.sum(COUNT) - mean * mean, F.lit(0.0)))
+    rest = d.groupBy("dim").agg(F.sum(COUNT).alias("n"), F.min(VALUE).alias("lo"), F.max(VALUE).alias("hi"), F.first("center").alias("center"), sd.alias("sd"))
+    return rest.join(F.broadcast(mad), "dim").select("dim", "n", "lo", "hi", "center", F.when(F.col("mad") > 1e-12, MAD * F.col("mad")).otherwise(F.col("sd")).alias("scale"))
+
+
+def quantile_table(df: DataFrame, dims: list[str], parts: int = 100, most: int = IN_A_TASK) -> DataFrame:
+    """dim, k, q: the exact quantiles at k / parts. most: see ``quantiles_of``."""
+    q = group_quantiles(long_form(df, dims), ["dim"], "value", [k / parts for k in range(parts + 1)], most)
     return q.select("dim", F.posexplode("q").alias("k", "q"))
 
 

@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prismview.functions.quantiles import group_median
+from prismview.functions.shared import IN_A_TASK
 from prismview.operators import curves as cv
 
 
@@ -89,12 +91,14 @@ def residual(relation: Relation) -> Column:
     return F.when(x.between(relation.low, relation.high), combined(relation.y) - relation.formula(x))
 
 
-def median_residuals(df: DataFrame, ids: list[str] | None = None, least: int = 50) -> DataFrame:
+def median_residuals(df: DataFrame, ids: list[str] | None = None, least: int = 50, most: int = IN_A_TASK) -> DataFrame:
     """id, n, mid (0 below ``least`` rows) of every relation, in one pass."""
     rel = [RELATIONS[i] for i in (ids or RELATIONS)]
-    aggs = [F.struct(F.lit(r.id).alias("id"), F.count(residual(r)).alias("n"), F.median(residual(r)).alias("m")) for r in rel]
-    rows = df.agg(F.array(*aggs).alias("x")).select(F.explode("x").alias("x")).select("x.*")
-    return rows.select("id", "n", F.when(F.col("n") < least, F.lit(0.0)).otherwise(F.col("m")).alias("mid"))
+    each = df.select(F.explode(F.array(*[F.struct(F.lit(r.id).alias("id"), residual(r).cast("double").alias("r")) for r in rel])).alias("x")).select("x.*")
+    mids = group_median(each, ["id"], "r", "m", most)
+    every = df.sparkSession.createDataFrame([(r.id,) for r in rel], "id string")
+    n = F.coalesce("n", F.lit(0))
+    return every.join(F.broadcast(mids), "id", "left").select("id", n.alias("n"), F.when(n < least, F.lit(0.0)).otherwise(F.col("m")).alias("mid"))  # a row for each relation
 
 
 def unknown_references(presets: dict, relations: dict[str, Relation] = RELATIONS) -> set[str]:

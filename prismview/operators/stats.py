@@ -7,7 +7,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prismview.functions.shared import forget, quantiles, settled
+from prismview.functions.quantiles import group_median
+from prismview.functions.shared import IN_A_TASK, forget, quantiles, settled
 
 
 def pearson(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
@@ -74,8 +75,9 @@ def binned_slope(binned: DataFrame, x: str, y: str) -> DataFrame:
     return binned.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.count("*").alias("n"))
 
 
-def group_medians(df: DataFrame, keys: list[str], value: str, least: int = 1) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(value).alias("n"), F.median(value).alias("mid")).where(F.col("n") >= least)
+def group_medians(df: DataFrame, keys: list[str], value: str, least: int = 1, most: int = IN_A_TASK) -> DataFrame:
+    """keys, n (values present), mid of groups of ``least`` values or more (one at least), of any size."""
+    return group_median(df, keys, value, "mid", most).where(F.col("n") >= least)
 
 
 def rates(df: DataFrame, keys: list[str], conditions: dict[str, Column]) -> DataFrame:

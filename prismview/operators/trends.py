@@ -2,42 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismview.functions.shared import quantiles, settled
+from prismview.functions.quantiles import group_median, group_quantiles
+from prismview.functions.shared import IN_A_TASK, quantiles, settled
 from prismview.operators.density import bin_closed, bin_open
 
 BAND = (0.16, 0.5, 0.84)
 
 
-def _band(y: str) -> list[Column]:
-    q = F.percentile(y, F.array(*[F.lit(p) for p in BAND]))
-    return [F.count("*").alias("n"), q.alias("_q")]
+def _bands(df: DataFrame, keys: list[str], y: str, most: int) -> DataFrame:
+    """keys, n, lo, mid, hi of each group with a value of y."""
+    q = group_quantiles(df, keys, y, list(BAND), most)
+    return q.select(*keys, "n", *[F.get("q", F.lit(i)).alias(c) for i, c in enumerate(("lo", "mid", "hi"))])
 
 
-def _spread(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.select(*keys, "n", *[F.get("_q", F.lit(i)).alias(c) for i, c in enumerate(("lo", "mid", "hi"))])
-
-
-def running_quantiles(df: DataFrame, x: str, y: str, lo: float, hi: float, bins: int = 24, least: int = 30, group: str | None = None) -> DataFrame:
-    """(group,) bin, n, lo, mid, hi: 16, 50 and 84 % of y; the right edge belongs to the last bin; bins of ``least`` rows or more."""
+def running_quantiles(df: DataFrame, x: str, y: str, lo: float, hi: float, bins: int = 24, least: int = 30, group: str | None = None, most: int = IN_A_TASK) -> DataFrame:
+    """(group,) bin, n, lo, mid, hi: 16, 50 and 84 % of y; the right edge belongs to the last bin; bins of ``least`` rows or more.
+    most: see ``functions.quantiles.quantiles_of``, here and below."""
     keys = ([group] if group else []) + ["bin"]
-    cut = df.where(F.col(y).isNotNull()).withColumn("bin", bin_closed(F.col(x), lo, hi, bins)).where("bin is not null")
-    return _spread(cut.groupBy(*keys).agg(*_band(y)).where(F.col("n") >= least), keys)
+    cut = df.withColumn("bin", bin_closed(F.col(x), lo, hi, bins)).where("bin is not null")
+    return _bands(cut, keys, y, most).where(F.col("n") >= least)
 
 
-def running_median_open(df: DataFrame, x: str, y: str, lo: float, hi: float, bins: int, least: int = 30) -> DataFrame:
+def running_median_open(df: DataFrame, x: str, y: str, lo: float, hi: float, bins: int, least: int = 30, most: int = IN_A_TASK) -> DataFrame:
     """As running_quantiles, but x = hi is left out."""
-    cut = df.where(F.col(y).isNotNull()).withColumn("bin", bin_open(F.col(x), lo, hi, bins)).where("bin is not null")
-    return _spread(cut.groupBy("bin").agg(*_band(y)).where(F.col("n") >= least), ["bin"])
+    cut = df.withColumn("bin", bin_open(F.col(x), lo, hi, bins)).where("bin is not null")
+    return _bands(cut, ["bin"], y, most).where(F.col("n") >= least)
 
 
-def running_median_midx(df: DataFrame, x: str, y: str, edges: list[float], least: int = 40) -> DataFrame:
+def running_median_midx(df: DataFrame, x: str, y: str, edges: list[float], least: int = 40, most: int = IN_A_TASK) -> DataFrame:
     """bin, n, x_mid, y_mid: medians of both coordinates in a <= x < b."""
     k = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: F.col(x) >= e)) - 1
     cut = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("bin", k).where((F.col("bin") >= 0) & (F.col("bin") < len(edges) - 1))
-    return cut.groupBy("bin").agg(F.count("*").alias("n"), F.median(x).alias("x_mid"), F.median(y).alias("y_mid")).where(F.col("n") >= least)
+    sides = [F.struct(F.lit(side).alias("side"), F.col(c).cast("double").alias("value")) for side, c in (("x", x), ("y", y))]
+    mids = group_median(cut.select("bin", F.explode(F.array(*sides)).alias("s")).select("bin", "s.*"), ["bin", "side"], "value", "mid", most)
+    one = lambda side: F.max(F.when(F.col("side") == side, F.col("mid")))
+    return mids.groupBy("bin").agg(F.max("n").alias("n"), one("x").alias("x_mid"), one("y").alias("y_mid")).where(F.col("n") >= least)
 
 
 def equal_groups(df: DataFrame, value: str, groups: int) -> tuple[DataFrame, list[float], list[float]]:
@@ -49,19 +51,20 @@ def equal_groups(df: DataFrame, value: str, groups: int) -> tuple[DataFrame, lis
     return df.withColumn("group", F.when(F.col(value).isNotNull(), group)), edges, mids
 
 
-def trend(view: DataFrame, x: str, y: str, lo: float, hi: float, bins: int = 24, least: int = 30, group: str | None = None, least_group: int = 200, selected: str | None = None) -> DataFrame:
+def trend(view: DataFrame, x: str, y: str, lo: float, hi: float, bins: int = 24, least: int = 30, group: str | None = None, least_group: int = 200, selected: str | None = None,
+          most: int = IN_A_TASK) -> DataFrame:
     """part ('all', a group's value, 'selected'), bin, n, lo, mid, hi. A group needs twice ``least`` rows per bin and ``least_group`` in all,
-    the selection twice ``least`` per bin. One grouped aggregate for everything."""
+    the selection twice ``least`` per bin. All bins of all parts are groups of one call."""
     parts = [F.lit("all")]
     if group:
         parts.append(F.when(F.col(group).isNotNull(), F.col(group).cast("string")))
     if selected:
         parts.append(F.when(F.col(selected), F.lit("selected")))
-    cut = view.where(F.col(y).isNotNull()).withColumn("bin", bin_closed(F.col(x), lo, hi, bins)).where("bin is not null")
+    cut = view.withColumn("bin", bin_closed(F.col(x), lo, hi, bins)).where("bin is not null")
     each = cut.withColumn("part", F.explode(F.filter(F.array(*parts), lambda p: p.isNotNull())))
-    found = each.groupBy("part", "bin").agg(*_band(y)).withColumn("total", F.sum("n").over(Window.partitionBy("part")))
+    found = _bands(each, ["part", "bin"], y, most).withColumn("total", F.sum("n").over(Window.partitionBy("part")))
     ok = F.when(F.col("part") == "all", F.col("n") >= least).when(F.col("part") == "selected", F.col("n") >= 2 * least).otherwise((F.col("n") >= 2 * least) & (F.col("total") >= least_group))
-    return _spread(found.where(ok), ["part", "bin"])
+    return found.where(ok).drop("total")
 
 
 def smoothed(df: DataFrame, group: list[str], order: str, value: str) -> DataFrame:
@@ -122,7 +125,7 @@ def running_scatter(df: DataFrame, x: str, y: str, bins: int = 24, least: int =
         return d.agg(F.count("*").alias("n"), F.lit(None).cast("double").alias("sigma"))
     w = (hi - lo) / bins
     k = F.least(F.greatest(F.floor((F.col("x") - lo) / w), F.lit(0)), F.lit(bins - 1)).cast("int")
-    mids = d.where(F.col("x").between(lo, hi)).groupBy(k.alias("bin")).agg(F.count("*").alias("n"), F.median("y").alias("mid")).where(F.col("n") >= least)
+    mids = group_median(d.where(F.col("x").between(lo, hi)).withColumn("bin", k), ["bin"], "y").where(F.col("n") >= least)
     every = d.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"), F.lit(0).alias("_g")).join(mids, "bin", "left")
     curve = [r["filled"] for r in filled(every, ["_g"], "bin", "mid").orderBy("bin").collect()]  # a number for each bin
     if any(v is None for v in curve):

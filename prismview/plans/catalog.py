@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from prismview.functions import color
 from prismview.functions import scalars as s
 from prismview.functions import text as tx
-from prismview.functions.shared import table
+from prismview.functions.quantiles import group_median, group_quantiles
+from prismview.functions.shared import settled, table
 from prismview.operators import cluster, curves, density, encode, ingest, project, search, spatial, stats, trends
 from prismview.plans.facts import DIMS, RANGES, SEED, SQL, facts, sql_axis, stats_of
 from prismview.spec import ViewSpec
@@ -50,7 +51,7 @@ WITH_VIEW = f"WITH {VIEW_SQL}\n"
 
 
 def the_view(spark: SparkSession, sf_dir: str, view: ViewSpec = VIEW) -> DataFrame:
-    f = facts(spark, sf_dir)
+    f = settled(facts(spark, sf_dir), "facts")  # read by the statistics and by the view
     return project.projected(f, view, stats_of(f))
 
 
@@ -501,8 +502,8 @@ def ols_r2(spark, d):
 
 @query("""WITH b AS (SELECT l_quantity AS q, median(round(l_extendedprice * 100) / 100) AS p FROM lineitem GROUP BY 1) SELECT round(regr_slope(p, q), 5) AS slope, round(regr_intercept(p, q), 3) AS intercept, count(*) AS n FROM b""")
 def binned_slope(spark, d):
-    b = _cents(spark, d).groupBy(F.col("l_quantity").alias("q")).agg(F.median("p").alias("m"))
-    return stats.binned_slope(b, "q", "m").select(F.round("slope", 5).alias("slope"), F.round("intercept", 3).alias("intercept"), "n")
+    b = group_median(_cents(spark, d), ["l_quantity"], "p", "m")
+    return stats.binned_slope(b, "l_quantity", "m").select(F.round("slope", 5).alias("slope"), F.round("intercept", 3).alias("intercept"), "n")
 
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, median(l_quantity) AS mid FROM lineitem GROUP BY 1, 2 HAVING count(*) >= 30")
@@ -510,6 +511,14 @@ def grouped_medians(spark, d):
     return stats.group_medians(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_quantity", 30)
 
 
+@query("""SELECT l_returnflag, l_linestatus, count(*) AS n, round(unnest(quantile_cont(l_extendedprice, [0.0, 0.005, 0.16, 0.5, 0.84, 0.995, 1.0])), 6) AS q, unnest(range(7))::INTEGER AS i
+FROM lineitem GROUP BY 1, 2""")
+def order_statistics(spark, d):
+    """Quantiles of few groups by the range sort that groups of any size take; here a group of a hundred values does."""
+    q = group_quantiles(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", [0.0, 0.005, 0.16, 0.5, 0.84, 0.995, 1.0], most=100)
+    return q.select("l_returnflag", "l_linestatus", "n", F.posexplode("q").alias("i", "q")).withColumn("q", F.round("q", 6))
+
+
 @query("SELECT p_type, count(*) AS n, count_if(l_discount >= 0.05)::DOUBLE / count(*) AS discounted, count_if(l_returnflag = 'R')::DOUBLE / count(*) AS returned FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1")
 def rates_by_group(spark, d):
     j = table(spark, d, "lineitem").select("l_partkey", "l_discount", "l_returnflag").join(table(spark, d, "part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
@@ -780,7 +789,8 @@ def monotonic_faults(spark, d):
 
 @query(f"WITH b AS (SELECT floor(l_quantity / 5)::INTEGER AS bin, l_quantity, p FROM {_CENTS}), m AS (SELECT median(l_quantity) AS x, median(p) AS y FROM b GROUP BY bin), seg(x0, x1, y0, y1) AS (VALUES {_SEG}) SELECT round(sqrt(avg(pow(y - (y0 + (y1 - y0) * ((x - x0) / (x1 - x0)::DOUBLE)), 2))), 4) AS rms, count(*) AS n FROM m JOIN seg ON x >= x0 AND x < x1")
 def rms_about_curve(spark, d):
-    b = _cents(spark, d).groupBy(F.floor(F.col("l_quantity") / 5).alias("bin")).agg(F.median("l_quantity").alias("x"), F.median("p").alias("y"))
+    cut = _cents(spark, d).withColumn("bin", F.floor(F.col("l_quantity") / 5))
+    b = group_median(cut, ["bin"], "l_quantity", "x").drop("n").join(group_median(cut, ["bin"], "p", "y").drop("n"), "bin")
     return _rounded(curves.rms_about(b, "x", "y", _CURVE), ("rms",))
 
 
