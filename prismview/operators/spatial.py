@@ -1,45 +1,28 @@
-"""Nearest rows and rows by cell: equi-joins on cells with an exact test inside."""
+"""Nearest rows and rows by cell."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prismview.operators.nearest import matched, nearest_rows
+
 
 def cell(x: Column, size: float) -> Column:
     return F.floor(x / size).cast("long")
 
 
-def around(df: DataFrame, x: str, y: str, size: float) -> DataFrame:
-    """df once for each of the nine cells around its row's cell."""
-    offsets = [F.struct((cell(F.col(x), size) + i).alias("cx"), (cell(F.col(y), size) + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]
-    return df.withColumn("_c", F.explode(F.array(*offsets))).withColumns({"_cx": F.col("_c.cx"), "_cy": F.col("_c.cy")}).drop("_c")
-
-
 def pick_nearest(points: DataFrame, rows: DataFrame, radius: float, point_id: str, row_id: str, px: str = "px", py: str = "py", x: str = "X", y: str = "Y") -> DataFrame:
     """point_id, row_id, d2 of the nearest row within radius of each point; the smaller row_id wins a tie."""
-    p = around(points.select(point_id, px, py), px, py, radius)
-    r = rows.select(row_id, x, y).withColumns({"_cx": cell(F.col(x), radius), "_cy": cell(F.col(y), radius)})
-    d2 = (F.col(px) - F.col(x)) * (F.col(px) - F.col(x)) + (F.col(py) - F.col(y)) * (F.col(py) - F.col(y))
-    near = p.join(r, ["_cx", "_cy"]).withColumn("d2", d2).where(F.col("d2") <= radius * radius)
-    return near.groupBy(point_id).agg(F.min(F.struct("d2", row_id)).alias("m")).select(point_id, f"m.{row_id}", "m.d2")
+    axes = ["_x0", "_x1"]
+    asked = points.select(point_id, F.col(px).cast("double").alias("_x0"), F.col(py).cast("double").alias("_x1"))
+    return asked.join(nearest_rows(asked, rows.select(row_id, F.col(x).alias("_x0"), F.col(y).alias("_x1")), row_id, axes, radius), axes).select(point_id, row_id, "d2")
 
 
 def radius_match(left: DataFrame, right: DataFrame, radius: float, left_id: str, right_id: str, used: DataFrame | None = None, accept: Column | None = None) -> DataFrame:
-    """left_id, right_id, d2: the nearest unused row of right for each left row, then the test ``accept`` on that pair (a
-    nearest candidate that fails isn't replaced by a farther one), then each right row to its nearest left row.
-
-    Both sides have x, y and the columns that accept names; those of right are prefixed with r_.
-    """
-    free = right if used is None else right.join(used.select(right_id), right_id, "left_anti")
-    rest = [c for c in free.columns if c != right_id]
-    r = free.select(right_id, *[F.col(c).alias(f"r_{c}") for c in rest]).withColumns({"_cx": cell(F.col("r_x"), radius), "_cy": cell(F.col("r_y"), radius)})
-    d2 = (F.col("x") - F.col("r_x")) * (F.col("x") - F.col("r_x")) + (F.col("y") - F.col("r_y")) * (F.col("y") - F.col("r_y"))
-    met = around(left, "x", "y", radius).join(r, ["_cx", "_cy"]).withColumn("d2", d2).where(F.col("d2") <= radius * radius)
-    first = met.withColumn("_n", F.row_number().over(Window.partitionBy(left_id).orderBy("d2", right_id))).where("_n = 1")
-    good = first if accept is None else first.where(accept)
-    best = good.withColumn("_m", F.row_number().over(Window.partitionBy(right_id).orderBy("d2", left_id))).where("_m = 1")
-    return best.select(left_id, right_id, "d2")
+    """left_id, right_id, d2: the nearest unused row of right for each left row in the plane (x, y), then the test ``accept`` on that
+    pair, then each right row to its nearest left row; see ``nearest.matched``."""
+    return matched(left, right, left_id, right_id, ["x", "y"], radius, used, accept).drop("round")
 
 
 def closest_partner(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str, distance: Column) -> DataFrame:

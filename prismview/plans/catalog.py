@@ -10,7 +10,7 @@ from prismview.functions import scalars as s
 from prismview.functions import text as tx
 from prismview.functions.quantiles import group_median, group_quantiles
 from prismview.functions.shared import settled, table
-from prismview.operators import cluster, curves, density, encode, ingest, project, search, spatial, stats, trends
+from prismview.operators import cluster, curves, density, encode, ingest, nearest, project, search, spatial, stats, trends
 from prismview.plans.facts import DIMS, RANGES, SEED, SQL, facts, sql_axis, stats_of
 from prismview.spec import ViewSpec
 
@@ -583,6 +583,30 @@ def radius_match(spark, d):
     return spatial.radius_match(left, right, 0.5, "l", "r", used=right.where("r % 7 = 0"), accept=F.abs(F.col("z") - F.col("r_z")) < 20)
 
 
+#: Positions in degrees: a third around a pole, a third across 0 degrees, the rest spread; steps are about a tenth of an arc second.
+_SKY = """SELECT {id} AS {name}, CASE {id} % 3 WHEN 0 THEN ({id} * 7919 % 3600) / 10.0::DOUBLE WHEN 1 THEN ({id} * 37 % 401 + {id} % 997 / 997.0::DOUBLE + 12959800) % 12960000 / 36000.0::DOUBLE ELSE ({id} * 1009 % 3593) / 10.0::DOUBLE END AS ra,
+  CASE {id} % 3 WHEN 0 THEN 90.0::DOUBLE - ({id} * 31 % 97 + {id} % 1009 / 1009.0::DOUBLE) / 36000.0::DOUBLE WHEN 1 THEN ({id} * 53 % 211 + {id} % 991 / 991.0::DOUBLE) / 36000.0::DOUBLE ELSE ({id} * 331 % 1787) / 10.0::DOUBLE - 89.0::DOUBLE END AS dec, {z} AS z FROM {table}"""
+_UNIT = ", ".join(f"{f} AS {a}" for a, f in (("ux", "cos(radians(dec)) * cos(radians(ra))"), ("uy", "cos(radians(dec)) * sin(radians(ra))"), ("uz", "sin(radians(dec))")))
+
+
+def _sky(spark, d, name: str, key: str, out: str, z) -> DataFrame:
+    k = F.col(key)
+    ra = F.when(k % 3 == 0, k * 7919 % 3600 / 10.0).when(k % 3 == 1, (k * 37 % 401 + k % 997 / 997.0 + 12959800) % 12960000 / 36000.0).otherwise(k * 1009 % 3593 / 10.0)
+    dec = F.when(k % 3 == 0, 90.0 - (k * 31 % 97 + k % 1009 / 1009.0) / 36000.0).when(k % 3 == 1, (k * 53 % 211 + k % 991 / 991.0) / 36000.0).otherwise(k * 331 % 1787 / 10.0 - 89.0)
+    return table(spark, d, name).select(k.alias(out), ra.alias("ra"), dec.alias("dec"), z.alias("z"))
+
+
+@query(f"""WITH l AS (SELECT *, {_UNIT} FROM ({_SKY.format(id="c_custkey", name="l", z="c_custkey % 50", table="customer")})), r AS (SELECT *, {_UNIT} FROM ({_SKY.format(id="p_partkey", name="r", z="p_size", table="part")}) WHERE r % 7 <> 0),
+a AS (SELECT l, r, pow(l.ux - r.ux, 2) + pow(l.uy - r.uy, 2) + pow(l.uz - r.uz, 2) AS d2, abs(l.z - r.z) AS dz FROM l JOIN r ON abs(l.dec - r.dec) < 0.001 AND pow(l.ux - r.ux, 2) + pow(l.uy - r.uy, 2) + pow(l.uz - r.uz, 2) <= pow(2 * sin(radians(1.15 / 3600) / 2), 2)),
+f AS (SELECT *, row_number() OVER (PARTITION BY l ORDER BY d2, r) AS i FROM a), g AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY d2, l) AS j FROM f WHERE i = 1 AND dz < 20)
+SELECT l, r, round(degrees(2 * asin(sqrt(d2) / 2)) * 3600, 4) AS sep, 1 AS round FROM g WHERE j = 1""")
+def sky_match(spark, d):
+    """Positions on the sphere: each row's nearest unused candidate within an angle, a test on the pair, one row for each candidate."""
+    left, right = _sky(spark, d, "customer", "c_custkey", "l", F.col("c_custkey") % 50), _sky(spark, d, "part", "p_partkey", "r", F.col("p_size"))
+    found = nearest.sky_match(left, right, "l", "r", 1.15, used=right.where("r % 7 = 0"), accept=F.abs(F.col("z") - F.col("r_z")) < 20)
+    return found.withColumn("sep", F.round("sep", 4))
+
+
 @query("SELECT o_custkey, o_orderkey, d FROM (SELECT o_custkey, o_orderkey, abs(o_totalprice - c_acctbal) AS d, row_number() OVER (PARTITION BY o_custkey ORDER BY abs(o_totalprice - c_acctbal), o_orderkey) AS i FROM customer JOIN orders ON o_custkey = c_custkey) WHERE i = 1")
 def closest_partner(spark, d):
     left = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_acctbal")
