@@ -786,6 +786,25 @@ def hysteresis_steps(spark, d):
     return st.hysteresis(_events(spark, d), "user_id", "ts", "event_id", "value")
 
 
+@query("""WITH RECURSIVE e AS (SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events),
+w AS (SELECT event_type, event_id, value, i, value AS base, true AS hit FROM e WHERE i = 1
+  UNION ALL SELECT e.event_type, e.event_id, e.value, e.i, CASE WHEN e.value > w.base * 3.0::DOUBLE OR e.value < w.base / 3.0::DOUBLE THEN e.value ELSE w.base END, e.value > w.base * 3.0::DOUBLE OR e.value < w.base / 3.0::DOUBLE
+  FROM w JOIN e ON e.event_type = w.event_type AND e.i = w.i + 1)
+SELECT event_type, event_id, value FROM w WHERE hit""")
+def hysteresis_by_type(spark, d):
+    """Few keys with many events each: every key lies in several partitions."""
+    from prismview.streaming import operators as st
+    return st.hysteresis(_events(spark, d), "event_type", "ts", "event_id", "value", 3.0)
+
+
+@query("""WITH e AS (SELECT user_id, event_id, value, epoch_us(ts) / 1e6 AS s, row_number() OVER w AS i, lag(epoch_us(ts) / 1e6) OVER w AS p FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+g AS (SELECT *, value * CASE WHEN p IS NULL THEN 1 ELSE 1 - exp(-(s - p) / 86400) END AS v FROM e)
+SELECT a.user_id, a.event_id, round(sum(b.v * exp((b.s - a.s) / 86400)), 6) AS smooth FROM g a JOIN g b ON a.user_id = b.user_id AND b.i <= a.i GROUP BY a.user_id, a.event_id""")
+def ewma_trace(spark, d):
+    from prismview.streaming import operators as st
+    return st.ewma_trace(_events(spark, d), "user_id", "ts", "event_id", "value", 86400.0).withColumn("smooth", F.round("smooth", 6))
+
+
 # ---- sets, carry-over, checks ----------------------------------------------------------------------------------------
 
 @query("SELECT p_partkey AS k, 'part' AS side FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem) UNION ALL SELECT DISTINCT l_partkey, 'line' FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 10)")

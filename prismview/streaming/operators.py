@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from prismview.streaming.carry import Hysteresis, Smoothing, carried
+
 
 def with_event_time(df: DataFrame, ts: str, lateness: str = "10 minutes") -> DataFrame:
     """ts as a timestamp with a watermark; parquet times without a zone are taken as UTC."""
@@ -67,17 +69,14 @@ def ewma_stream(df: DataFrame, key: str, ts: str, value: str, tau_seconds: float
     return few.groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, at double, smooth double", "at double, s double", "update", "NoTimeout")
 
 
-def hysteresis(df: DataFrame, key: str, ts: str, tie: str, value: str, ratio: float = 1.35) -> DataFrame:
-    """Events at which a value has moved by more than ratio from the value at the last such event; the first one counts."""
-    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, `{tie}` {df.schema[tie].dataType.simpleString()}, `{value}` double"
+def ewma_trace(df: DataFrame, key: str, ts: str, tie: str, value: str, tau_seconds: float) -> DataFrame:
+    """key, tie, smooth: the smoothed value at every event; a key may have any number of them (see ``carry``)."""
+    few = df.select(key, tie, F.col(value).cast("double").alias("_v"), (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("_s"))
+    return carried(few, key, ["_s", tie], Smoothing("_s", "_v", tau_seconds)).select(key, tie, "smooth")
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        keep, base = [], None
-        for v in pdf.sort_values(["_s", tie])[value]:
-            hit = base is None or v > base * ratio or v < base / ratio
-            keep.append(hit)
-            base = v if hit else base
-        return pdf.sort_values(["_s", tie])[keep][[key, tie, value]]
 
+def hysteresis(df: DataFrame, key: str, ts: str, tie: str, value: str, ratio: float = 1.35) -> DataFrame:
+    """Events at which a value has moved by more than ratio from the value at the last such event; the first one counts, nulls never do.
+    A key may have any number of events (see ``carry``)."""
     few = df.select(key, tie, F.col(value).cast("double").alias(value), F.unix_micros(F.col(ts).cast("timestamp")).alias("_s"))
-    return few.groupBy(key).applyInPandas(walk, schema)
+    return carried(few, key, ["_s", tie], Hysteresis(value, ratio)).select(key, tie, value)
