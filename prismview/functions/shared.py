@@ -84,16 +84,16 @@ def arrow_rows(spark: SparkSession, rows: int | None):
         spark.conf.set(ARROW_ROWS, before)
 
 
-def settled(df: DataFrame, name: str, *done: DataFrame, rows: int | None = None) -> DataFrame:
+def settled(df: DataFrame, name: str, *done: DataFrame, rows: int | None = None, codec: str | None = None) -> DataFrame:
     """df written once to the shared folder and read back: its lineage ends there, so a lost executor costs no recomputation.
 
     done: written tables that nothing else reads from now on; they are removed. rows: the size of Arrow batches, for plans
-    whose Python functions take whole texts.
+    whose Python functions take whole texts. codec: of the files, where the session's isn't meant.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
     with arrow_rows(spark, rows):
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
     out = spark.read.schema(df.schema).parquet(path)
     _tables[out] = path
     forget(*done)
