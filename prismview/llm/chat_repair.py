@@ -124,17 +124,17 @@ def assembled(stretches: list[dict]) -> dict[tuple[int, object], tuple[int, int,
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]):
-    """(part, conversation, rows) of each run of rows; rows: (turn, role, text)."""
-    at, rows = None, []
+    """(part, tag, conversation, rows) of each run of rows; rows: (turn, role, text)."""
+    at, own, rows = None, None, []
     for b in batches:
-        for part, conv, turn, role, text in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-            if (part, conv) != at:
+        for part, tag, conv, turn, role, text in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+            if (part, tag) != at:
                 if rows:
-                    yield *at, rows
-                at, rows = (part, conv), []
+                    yield *at, own, rows
+                at, own, rows = (part, tag), conv, []
             rows.append((turn, ROLES.index(role) if role in ROLES else None, escaped(text or "")))
     if rows:
-        yield *at, rows
+        yield *at, own, rows
 
 
 def chat_repair(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -143,41 +143,39 @@ def chat_repair(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     kinds = {name: turns.schema[c].dataType.simpleString() for name, c in (("conv", conv), ("turn", turn))}
     few = turns.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.lower(F.trim(F.col(role))).alias("role"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
+    few = few.withColumn("tag", F.when(F.col("conv").isNull(), "").otherwise(F.concat_ws(":", F.xxhash64("conv").cast("string"), F.hash("conv").cast("string"))))
     order = [F.col("conv").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("row")]
     held = settled(few.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), "turns")
-    dealt = held.repartitionByRange(n, "part").sortWithinPartitions("part", *order).select("part", "conv", "turn", "role", "text", "row")
+    dealt = held.repartitionByRange(n, "part").sortWithinPartitions("part", *order).select("part", "tag", "conv", "turn", "role", "text", "row")
+    # a conversation's tag (96 bits of hashes) is the same wherever it is read, which the keys of many types aren't;
     # a conversation crosses parts if its rows lie in several: only the first and last of a part can
-    ends = held.groupBy("part").agg(F.min(F.struct(F.col("conv").isNotNull().alias("k"), "conv")).alias("a"), F.max(F.struct(F.col("conv").isNotNull().alias("k"), "conv")).alias("z")).collect()
-    seen: dict[object, int] = {}
+    ends = held.groupBy("part").agg(F.min(F.struct(F.col("conv").isNotNull().alias("k"), "conv", "tag"))["tag"].alias("a"), F.max(F.struct(F.col("conv").isNotNull().alias("k"), "conv", "tag"))["tag"].alias("z")).collect()
+    seen: dict[str, int] = {}
     for r in ends:
-        for c in {r["a"]["conv"], r["z"]["conv"]}:
+        for c in {r["a"], r["z"]}:
             seen[c] = seen.get(c, 0) + 1
     crossing = {c for c, k in seen.items() if k > 1}  # as many as there are parts at most
 
     def summed(batches):
-        own, batches = _kinds(batches)
-        for part, c, rows in _stretches(batches):
+        for part, tag, _, rows in _stretches(batches):
             roles = [r[1] for r in rows]
             for entry in STATES:
                 last = forward(entry, roles)[-1]
-                yield pa.RecordBatch.from_arrays([pa.array([part] * len(last), pa.int32()), pa.array([c] * len(last), own[0]), pa.array([entry] * len(last), pa.int32()), pa.array(list(last), pa.int32()), pa.array([v[0] for v in last.values()], pa.int64()), pa.array([v[1] for v in last.values()], pa.int64()), pa.array([v[2] for v in last.values()], pa.int64())], ["part", "conv", "entry", "exit", "cost", "out", "pieces"])
+                yield pa.RecordBatch.from_arrays([pa.array([part] * len(last), pa.int32()), pa.array([tag] * len(last)), pa.array([entry] * len(last), pa.int32()), pa.array(list(last), pa.int32()), pa.array([v[0] for v in last.values()], pa.int64()), pa.array([v[1] for v in last.values()], pa.int64()), pa.array([v[2] for v in last.values()], pa.int64())], ["part", "tag", "entry", "exit", "cost", "out", "pieces"])
 
     fixed = {}
     if crossing:
-        ids = [c for c in crossing if c is not None]
-        across = F.col("conv").isin(ids) if ids else F.lit(False)
-        across = (across | F.col("conv").isNull()) if None in crossing else across
         tables: dict[tuple, dict] = {}
-        for r in dealt.where(across).drop("text").withColumn("text", F.lit("")).select("part", "conv", "turn", "role", "text").mapInArrow(summed, f"part int, conv {kinds['conv']}, entry int, exit int, cost long, out long, pieces long").collect():
-            tables.setdefault((r["part"], r["conv"]), {}).setdefault(r["entry"], {})[r["exit"]] = (r["cost"], r["out"], r["pieces"])
-        fixed = assembled([{"part": p, "conv": c, "table": t} for (p, c), t in tables.items()])
+        for r in dealt.where(F.col("tag").isin(list(crossing))).select("part", "tag", "conv", "turn", "role", F.lit("").alias("text")).mapInArrow(summed, "part int, tag string, entry int, exit int, cost long, out long, pieces long").collect():
+            tables.setdefault((r["part"], r["tag"]), {}).setdefault(r["entry"], {})[r["exit"]] = (r["cost"], r["out"], r["pieces"])
+        fixed = assembled([{"part": p, "conv": tag, "table": t} for (p, tag), t in tables.items()])
     known = spark.sparkContext.broadcast(fixed)
 
     def repaired(batches):
         out: list[tuple] = []
         own, batches = _kinds(batches)
-        for part, c, rows in _stretches(batches):
-            entry, leave, before, seq, last = known.value.get((part, c), (NONE, None, 0, 0, True))
+        for part, tag, c, rows in _stretches(batches):
+            entry, leave, before, seq, last = known.value.get((part, tag), (NONE, None, 0, 0, True))
             steps = forward(entry, [r[1] for r in rows])
             path = backward(steps, cheapest(steps[-1]) if leave is None else leave)
             number, opened, paid = before, entry != NONE, 0

@@ -29,10 +29,13 @@ RULES = (
     ("access", r"AKIA[A-Z0-9]{16,}", 0, 20),
     ("hex", r"[0-9a-f]{24,}", 0, 24),
     ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
-    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
+    ("jwt", r"(?:^|[^A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})", 1, 1),
 )
 BASE = ("assign", "access", "hex")
-RULE_VERSION = "rules-1"
+#: Kinds whose span is their group, at the match's end: what stands before it only says where it may start. Without that a text
+#: of one long run would be read to the run's end from each place in it.
+BARE = ("jwt",)
+RULE_VERSION = "rules-1.1"
 SPAN = "struct<start:int,kind:int,end:int>"
 MATCH = "struct<kind:int,i:int,gap:int,long:int,value:int>"
 
@@ -59,7 +62,8 @@ def scanned(blobs: DataFrame, rules=RULES) -> DataFrame:
     upto = Window.partitionBy("blob", "kind").orderBy("i")  # the matches of one text, as they come
     placed = some.withColumn("end", F.sum(F.col("gap") + F.col("long")).over(upto).cast("int"))
     least = F.get(F.array(*[F.lit(r[3]) for r in rules]), F.col("kind"))
-    span = F.when(F.col("value") >= least, F.struct((F.col("end") - F.col("long")).alias("start"), "kind", "end"))
+    bare = F.get(F.array(*[F.lit(r[0] in BARE) for r in rules]), F.col("kind"))
+    span = F.when(F.col("value") >= least, F.struct((F.col("end") - F.when(bare, F.col("value")).otherwise(F.col("long"))).alias("start"), "kind", "end"))
     lists = placed.groupBy("blob").agg(F.array_sort(F.collect_list(span)).cast(f"array<{SPAN}>").alias("spans"))
     none = found.where(F.size("found") == 0).select("blob", F.array().cast(f"array<{SPAN}>").alias("spans"))
     return lists.union(none)
@@ -149,8 +153,9 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql_kind(kind: str, k: int, pattern: str, group: int, least: int) -> str:
     p = pattern.replace("'", "''")
+    start = "s + length(m) - length(v)" if kind in BARE else "s"
     return f"""
-  SELECT doc_id, {k} AS k, '{kind}' AS kind, s, s + length(m) AS e FROM (
+  SELECT doc_id, {k} AS k, '{kind}' AS kind, {start} AS s, s + length(m) AS e FROM (
     SELECT doc_id, m, v, coalesce(sum(length(p) + length(m)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + length(p) AS s
     FROM (SELECT doc_id, unnest(range(1, len(ms) + 1)) AS i, unnest(ms) AS m, unnest(vs) AS v, unnest(ps[1:len(ms)]) AS p
       FROM (SELECT doc_id, regexp_extract_all(t, '{p}', 0) AS ms, regexp_extract_all(t, '{p}', {group}) AS vs, regexp_split_to_array(t, '{p}') AS ps FROM d)))

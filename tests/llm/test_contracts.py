@@ -279,10 +279,10 @@ def test_pipeline_brute_force(spark, small, documents):
 def spans(text):
     import re
 
-    from prismview.llm.secret_scans import RULES
+    from prismview.llm.secret_scans import BARE, RULES
     out = []
-    for k, (_, pattern, group, least) in enumerate(RULES):
-        out += [(m.start(), k, m.end()) for m in re.finditer(pattern, text) if len(m.group(group)) >= least]
+    for k, (kind, pattern, group, least) in enumerate(RULES):
+        out += [(m.start(group if kind in BARE else 0), k, m.end()) for m in re.finditer(pattern, text) if len(m.group(group)) >= least]
     return sorted(out)
 
 
