@@ -43,7 +43,8 @@ def test_op1_rows_in_another_order_each_time(spark, tmp_path):
     key = lambda r: (r["doc_id"], r["start_word"], r["end_word"], r["class_id"], r["n_passages"])
     want = sorted(map(key, substring_dedup.substring_dedup(plain).collect()))
     assert len(want) == 100 and {(r[0] // 2 * 2, 2) for r in want} == {(r[3], r[4]) for r in want}
-    for dealt in (plain.repartition(4), plain.orderBy(F.rand())):
+    unstable = plain.withColumn("r", F.udf(lambda: __import__("random").random(), "double").asNondeterministic()()).orderBy("r")
+    for dealt in (plain.repartition(4), plain.repartition(3, "text"), plain.orderBy(F.rand()), unstable):
         assert sorted(map(key, substring_dedup.substring_dedup(dealt).collect())) == want
 
 
