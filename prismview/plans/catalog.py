@@ -805,6 +805,18 @@ def ewma_trace(spark, d):
     return st.ewma_trace(_events(spark, d), "user_id", "ts", "event_id", "value", 86400.0).withColumn("smooth", F.round("smooth", 6))
 
 
+@query("""WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS us, event_id * 7919 % 1009 AS seq, value AS payload FROM events),
+g AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY user_id ORDER BY us, seq) > 172800000000 THEN 1 ELSE 0 END AS new FROM e),
+l AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY us, seq) AS life FROM g),
+t AS (SELECT *, max(seq) OVER (PARTITION BY user_id, life ORDER BY us, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top, max(life) OVER (PARTITION BY user_id) AS last FROM l)
+SELECT user_id, us, CASE WHEN top IS NULL THEN 'insert' ELSE 'update' END AS change, seq, payload FROM t WHERE top IS NULL OR seq > top
+UNION ALL SELECT user_id, max(us) + 172800000000, 'expire', NULL, NULL FROM t WHERE life < last GROUP BY user_id, life""")
+def change_feed(spark, d):
+    """The changes of each user's state as rows; the same rows come from a stream (streaming.feed.change_stream)."""
+    from prismview.streaming import feed
+    return feed.change_feed(_events(spark, d).withColumn("seq", F.col("event_id") * 7919 % 1009), "user_id", "ts", "seq", "value", 172800)
+
+
 # ---- sets, carry-over, checks ----------------------------------------------------------------------------------------
 
 @query("SELECT p_partkey AS k, 'part' AS side FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem) UNION ALL SELECT DISTINCT l_partkey, 'line' FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 10)")
