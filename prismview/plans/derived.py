@@ -13,7 +13,7 @@ from prismview.functions.shared import scratch, table
 from prismview.operators import cluster, encode, ingest, project, relations, stats, trends
 from prismview.plans.catalog import _DAYS, ORACLE_SQL, QUERIES, WITH, _days, query  # noqa: F401
 from prismview.plans.facts import DIMS, RANGES, SEED, SQL, facts
-from prismview.sources import columns, readers
+from prismview.sources import acquire, columns, readers
 
 
 def _six(**named) -> list:
@@ -228,6 +228,21 @@ def irregular_lines(spark, d):
     return readers.irregular_text(spark, to, schema)[0]
 
 
+@query("SELECT 'nation-' || s_nationkey AS chunk, s_suppkey, s_name, s_acctbal FROM supplier")
+def acquired_chunks(spark, d):
+    """A file of rows per nation, fetched chunk by chunk in two runs, of which the first is given half of the plan; compiled."""
+    to, folder = scratch(spark, "served"), scratch(spark, "fetched")
+    wanted = ["s_suppkey", "s_name", "s_acctbal"]
+    table(spark, d, "supplier").select("s_nationkey", *wanted).repartition("s_nationkey").write.partitionBy("s_nationkey").option("header", True).csv(to)
+    files = readers.listing(spark, f"{to}/*/*.csv").select(F.regexp_extract("path", r"s_nationkey=(\d+)", 1).alias("n"), "path").collect()  # a row for each nation
+    plan = sorted((f"nation-{r['n']}.csv.gz", r["path"].replace("file:/", "file:///", 1) if not r["path"].startswith("file://") else r["path"]) for r in files)
+    for some in (plan[::2], plan):
+        acquire.acquire(spark, some, folder, wanted, in_flight=8)
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in wanted])
+    got = readers.compiled_chunks(spark, f"{folder}/*.csv.gz", schema, ["s_suppkey"])
+    return got.select("chunk", F.col("s_suppkey").cast("long").alias("s_suppkey"), "s_name", F.col("s_acctbal").cast("double").alias("s_acctbal"))
+
+
 # ---- events ----------------------------------------------------------------------------------------------------------
 
 ORACLE_SQL["hysteresis_steps"] = """WITH RECURSIVE e AS (SELECT user_id, event_id, (value)::DOUBLE AS value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),

@@ -116,6 +116,26 @@ class FitsSource(DataSource):
         return FitsReader(self.options["path"], self._wanted(), int(self.options.get("rows_per_partition", 100_000)))
 
 
+def fetched(address: str, tries: int = 6, delay: float = 15.0) -> str:
+    """The text at an address. A failed try is repeated after a doubling delay; an error of the request itself isn't."""
+    import urllib.error
+    import urllib.request
+
+    for k in range(tries):
+        try:
+            with urllib.request.urlopen(address, timeout=300) as answer:
+                return answer.read().decode()
+        except urllib.error.HTTPError as e:
+            if 400 <= e.code < 500 and e.code != 429 or k == tries - 1:
+                raise
+        except OSError:
+            if k == tries - 1:
+                raise
+        time.sleep(delay)
+        delay = min(300.0, 2 * delay)
+    raise ValueError("tries has to be 1 or more")
+
+
 class _Query(InputPartition):
     def __init__(self, sql: str):
         self.sql = sql
@@ -136,25 +156,10 @@ class SqlReader(DataSourceReader):
     def read(self, partition):
         import csv
         import io
-        import urllib.error
         import urllib.parse
-        import urllib.request
 
         address = f"{self.url}?{urllib.parse.urlencode({'cmd': ' '.join(partition.sql.split()), 'format': 'csv'})}"
-        delay = self.delay
-        for k in range(self.tries):
-            try:
-                with urllib.request.urlopen(address, timeout=300) as answer:
-                    rows = list(csv.reader(io.StringIO(answer.read().decode())))
-                break
-            except urllib.error.HTTPError as e:
-                if 400 <= e.code < 500 and e.code != 429 or k == self.tries - 1:
-                    raise
-            except OSError:
-                if k == self.tries - 1:
-                    raise
-            time.sleep(delay)
-            delay = min(300.0, 2 * delay)
+        rows = list(csv.reader(io.StringIO(fetched(address, self.tries, self.delay))))
         rows = [r for r in rows if r and not r[0].startswith("#")]
         if not rows or rows[0] != self.names:
             raise ValueError(f"expected the columns {self.names}, got {rows[:1]}")
