@@ -9,11 +9,11 @@ from pyspark.sql import types as T
 
 from prismview.functions import scalars as s
 from prismview.functions import text as tx
-from prismview.functions.shared import scratch, table
+from prismview.functions.shared import scratch, settled, table
 from prismview.operators import cluster, encode, ingest, project, relations, stats, trends
 from prismview.plans.catalog import _DAYS, ORACLE_SQL, QUERIES, WITH, _days, query  # noqa: F401
 from prismview.plans.facts import DIMS, RANGES, SEED, SQL, facts
-from prismview.sources import acquire, columns, readers
+from prismview.sources import acquire, columns, export, readers
 
 
 def _six(**named) -> list:
@@ -243,6 +243,25 @@ def acquired_chunks(spark, d):
     return got.select("chunk", F.col("s_suppkey").cast("long").alias("s_suppkey"), "s_name", F.col("s_acctbal").cast("double").alias("s_acctbal"))
 
 
+_BACK = lambda k: f"round(CASE WHEN {k} BETWEEN {RANGES[k][0]} AND {RANGES[k][1]} THEN {RANGES[k][0]!r} + round_even(({k} - {RANGES[k][0]!r}) / ({RANGES[k][1]!r}::DOUBLE - {RANGES[k][0]!r}) * 65534, 0) * (({RANGES[k][1]!r}::DOUBLE - {RANGES[k][0]!r}) / 65534) END, 6)"
+
+
+@query(WITH + f"SELECT k::DOUBLE AS k, {_BACK('price')} AS price, {_BACK('acct')} AS acct, st, (SELECT count_if(st = 0) FROM facts)::INTEGER AS unclassed FROM facts")
+def export_round_trip(spark, d):
+    """Facts in a seeded order, exported, a dependent block added, exported again with the block carried over, and read back column by column."""
+    to = scratch(spark, "export")
+    rows = settled(encode.permuted(facts(spark, d).select("k", "price", "acct", "st"), "k", SEED, "rank"), "ordered")
+    kinds = {"dims": {k: RANGES[k] for k in ("price", "acct")}, "cats": {"st": ["filled", "open", "part"]}, "meta": {"k": {"dtype": "u32", "offset": -5}}}
+    first = export.write_export(rows, "rank", "k", to, **kinds, block=4096)
+    export.set_block(to, "counted", {"unclassed": first["columns"]["st"]["missing"]}, first["order"])
+    m = export.write_export(rows, "rank", "k", to, **kinds, block=4096)
+    if export.verified(spark, to).where("not ok").count():
+        raise ValueError("the export's files aren't those of its manifest")
+    one = lambda name: export.read_export(spark, to, name).withColumnRenamed("value", name)
+    back = one("k").join(one("price"), "rank").join(one("acct"), "rank").join(one("st"), "rank")
+    return back.select("k", F.round("price", 6).alias("price"), F.round("acct", 6).alias("acct"), "st", F.lit(m["blocks"]["counted"]["unclassed"]).alias("unclassed"))
+
+
 # ---- events ----------------------------------------------------------------------------------------------------------
 
 ORACLE_SQL["hysteresis_steps"] = """WITH RECURSIVE e AS (SELECT user_id, event_id, (value)::DOUBLE AS value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
