@@ -4,7 +4,7 @@ Numbers, names and units of a text become typed placeholders, so a question that
 has the same template. Windows of ``width`` template tokens are hashed and hash-joined with the windows of the
 benchmark; a window counts if most of it is literal words. A document's passage is compared with the item along a
 diagonal (its place less the item's), or along a chain of nearby diagonals, since a value of another word count or a word put in
-shifts what follows; adjacent placeholders of a kind are one. The values in the placeholders must map one to one between
+shifts what follows; adjacent placeholders of a kind are one, and the word after a number may be a unit that no list has. The values in the placeholders must map one to one between
 the two. A capital that begins a sentence may be a word or a name, so windows with one have both forms. A pair is
 contaminated if the windows of the best run or chain, all consistent, are ``share`` of the item's windows or more.
 
@@ -33,14 +33,21 @@ WIDTH, LEAST = 8, 5
 UNITS = frozenset(b"mm cm m km in ft yd mi mile miles meter meters metre metres g kg mg lb lbs oz ton tons gram grams pound pounds ml l liter liters "
                   b"litre litres s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years percent dollar dollars "
                   b"euro euros cent cents degree degrees kb mb gb tb".split())
+#: Words taken for numbers, alone or joined by hyphens.
+NUMBERS = (b"zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+           b"twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen").split()
+SPELLED = re.compile(b"(?:N)(?:-(?:N))*".replace(b"N", b"(?:" + b"|".join(NUMBERS) + b")s?"))
 NUMBER = re.compile(rb"[-+$\xe2\x82\xac\xc2\xa3]*\d[\d.,:/]*%?")
+#: So many words in capitals that stand together are names, and so many words for numbers a number; more are words like any other.
+TOGETHER = 3
 LITERAL, NUMERIC, UNIT, NAME, NOTHING = range(5)
 EDGE = re.compile(rb"^[\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+|[\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+$")
 _words: list = []
 
 
 class Words(dict):
-    """Number of each raw word; for each number the token's hash, kind, and whether a sentence ends with the word."""
+    """Number of each raw word; for each number the token's hash, kind, its look (1: a capital, 2: in capitals, 3: a word for a number),
+    and whether a sentence ends with the word."""
 
     def __init__(self):
         from xxhash import xxh64_intdigest
@@ -52,15 +59,17 @@ class Words(dict):
     def __missing__(self, raw: bytes) -> int:
         core = EDGE.sub(b"", raw)
         low = core.lower()
-        kind = NUMERIC if NUMBER.fullmatch(core) else UNIT if low in UNITS else NOTHING if not core else LITERAL
-        capital = kind == LITERAL and core[:1].isupper() and (len(core) == 1 or core[1:].islower())
-        self.rows.append((self.digest(low), kind, capital, raw[-1:] in b".!?"))
+        spelled = SPELLED.fullmatch(low) is not None
+        kind = NUMERIC if spelled or NUMBER.fullmatch(core) else UNIT if low in UNITS else NOTHING if not core else LITERAL
+        word = core.decode(errors="replace") if kind == LITERAL else ""
+        look = 3 * spelled if not word[:1].isupper() else 1 if len(word) == 1 or word[1:].islower() else 2 * word.isupper()
+        self.rows.append((self.digest(low), kind, look, raw[-1:] in b".!?"))
         self[raw] = self.count
         self.count += 1
         return self.count - 1
 
     def columns(self) -> tuple[np.ndarray, np.ndarray]:
-        """Values and (kind, capital, sentence end) by number, with those met since the last call."""
+        """Values and (kind, look, sentence end) by number, with those met since the last call."""
         if self.rows:
             self.values = np.concatenate([self.values, np.array([r[0] for r in self.rows], dtype=np.uint64)])
             self.facts = np.concatenate([self.facts, np.array([r[1:] for r in self.rows], dtype=np.int8).reshape(-1, 3)])
@@ -78,9 +87,15 @@ def tokens(texts: list[str | None], most: int = 500_000) -> tuple[np.ndarray, ..
     row = np.repeat(np.arange(len(split)), [len(w) for w in split])
     values, known = known_words.columns()
     value, facts = values[ids], known[ids]
-    kind, capital, ends = facts[:, 0].copy(), facts[:, 1] == 1, facts[:, 2] == 1
+    kind, look, ends = facts[:, 0].copy(), facts[:, 1], facts[:, 2] == 1
+    capital = (look == 1) | (look == 2)
     first = np.ones(len(ids), dtype=bool)
     first[1:] = ends[:-1] | (row[1:] != row[:-1])
+    for alike in (2, 3):
+        at = np.flatnonzero(look == alike)
+        run = np.cumsum(np.diff(at, prepend=-2) + np.diff(row[at], prepend=0) != 1)  # words that stand together in a text
+        many = at[np.bincount(run)[run] > TOGETHER]
+        capital[many], kind[many] = False, LITERAL
     kind[capital & ~first] = NAME
     some = kind != NOTHING
     row, value, kind, opens = row[some], value[some], kind[some], (capital & first)[some]
@@ -90,9 +105,14 @@ def tokens(texts: list[str | None], most: int = 500_000) -> tuple[np.ndarray, ..
 
 def template(row: np.ndarray, value: np.ndarray, kind: np.ndarray, opens: np.ndarray, place: np.ndarray, form: int) -> tuple[np.ndarray, ...]:
     """(row, hash of the template token, hash of the value, kind, whether it differs from the plain form, place): form 0 is plain, in
-    form 1 runs of placeholders of a kind are one token, in form 2 capitals that begin a sentence are names as well."""
+    form 1 the word after a number is a unit and runs of placeholders of a kind are one token, in form 2 capitals that begin a
+    sentence are names as well."""
     kind = np.where(opens, NAME, kind) if form == 2 else kind
     opens = opens & (form == 2)
+    if form:
+        unit = np.zeros(len(row), dtype=bool)
+        unit[1:] = (kind[1:] == LITERAL) & (kind[:-1] == NUMERIC) & (row[1:] == row[:-1])
+        kind, opens = np.where(unit, UNIT, kind), opens | unit
     head = np.ones(len(row), dtype=bool)
     head[1:] = (row[1:] != row[:-1]) | (kind[1:] != kind[:-1]) | (kind[1:] == LITERAL) | (form == 0)
     at = np.flatnonzero(head)

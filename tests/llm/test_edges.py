@@ -334,6 +334,49 @@ def test_op8_values_of_other_word_counts(spark):
     assert got == {(1, 1), (2, 2), (3, 3)}
 
 
+@pytest.mark.parametrize("kind", ["digits", "names", "units", "long names", "accents and capitals", "number words", "other units"])
+def test_op8_finds_questions_with_other_values(spark, kind):
+    """Items of 28 tokens with a slot every five, asked again with other values; unrelated texts of the same words stay."""
+    import random
+
+    rnd = random.Random(kind)
+    pick = lambda *words: lambda: rnd.choice(words)
+    value = {
+        "digits": lambda: str(rnd.randint(2, 9999)),
+        "names": pick(*"Anna Boris Clara David Emma Felix Greta Hugo Irene Jonas".split()),
+        "units": lambda: f"{rnd.randint(2, 99)} " + rnd.choice("km miles kg hours days liters".split()),
+        "long names": lambda: " ".join(rnd.sample("Anna Boris Clara David Emma Felix Greta Hugo Irene Jonas".split(), rnd.choice([1, 2]))),
+        "accents and capitals": pick(*"Élodie Ørsted Ángel Šárka Émile NASA CERN UNESCO OPEC IKEA".split()),
+        "number words": pick(*"three seven twelve forty ninety-nine hundred twenty-one sixteen dozen eleven".split()),
+        "other units": lambda: f"{rnd.randint(2, 99)} " + rnd.choice("parsecs furlongs bushels hectares knots amperes joules teaspoons".split()),
+    }[kind]
+    items, docs = [], []
+    for k in range(200):
+        words = [f"w{rnd.randint(0, 400)}x" for _ in range(28)]
+        def asked(words=words):
+            made = {}
+            return " ".join(made.setdefault(i // 10, value()) if i % 5 == 2 else w for i, w in enumerate(words))
+        items.append((k, asked()))
+        docs += [(k, "some words before it and then " + asked() + " and after it a few more"), (1000 + k, " ".join(rnd.sample(words, 28)))]
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.decontamination(a, b).collect()}
+    assert len(got & {(k, k) for k in range(200)}) >= 190 and not got - {(k, k) for k in range(200)}
+
+
+def test_op8_tokens_do_not_depend_on_the_batch():
+    texts = ["see NASA CERN", "ESA IKEA and more", "", "ONE TWO", "THREE FOUR five six seven", None, "A B CD EF GH IJ KL"]
+    row, value, kind, opens, _ = decontamination.tokens(texts)
+    for i, t in enumerate(texts):
+        alone = decontamination.tokens([t])
+        assert [x[row == i].tolist() for x in (value, kind, opens)] == [x.tolist() for x in alone[1:4]]
+
+
+def test_op8_a_copy_in_capitals(spark):
+    item = spark.createDataFrame([(1, "the quick brown fox of the north jumps over many lazy dogs near a cold river bank")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "THE QUICK BROWN FOX OF THE NORTH JUMPS OVER MANY LAZY DOGS NEAR A COLD RIVER BANK"), (2, "NOTHING OF THIS")], "doc_id long, text string")
+    assert [r["doc_id"] for r in decontamination.decontamination(docs, item).collect()] == [1]
+
+
 def test_op9(docs, none):
     got = quality_rules.quality_rules(docs)
     assert got.count() == len(rows())
