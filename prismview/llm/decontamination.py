@@ -36,7 +36,7 @@ UNITS = frozenset(b"mm cm m km in ft yd mi mile miles meter meters metre metres
 #: Words taken for numbers, alone or joined by hyphens.
 NUMBERS = (b"zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
            b"twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen").split()
-SPELLED = re.compile(b"(?:N)(?:-(?:N))*".replace(b"N", b"(?:" + b"|".join(NUMBERS) + b")s?"))
+SPELLED = frozenset(n + s for n in NUMBERS for s in (b"", b"s"))
 NUMBER = re.compile(rb"[-+$\xe2\x82\xac\xc2\xa3]*\d[\d.,:/]*%?")
 #: So many words in capitals that stand together are names, and so many words for numbers a number; more are words like any other.
 TOGETHER = 3
@@ -59,9 +59,9 @@ class Words(dict):
     def __missing__(self, raw: bytes) -> int:
         core = EDGE.sub(b"", raw)
         low = core.lower()
-        spelled = SPELLED.fullmatch(low) is not None
+        spelled = low in SPELLED or b"-" in low and all(x in SPELLED for x in low.split(b"-"))
         kind = NUMERIC if spelled or NUMBER.fullmatch(core) else UNIT if low in UNITS else NOTHING if not core else LITERAL
-        word = core.decode(errors="replace") if kind == LITERAL else ""
+        word = core.decode(errors="replace") if kind == LITERAL and (low != core or core[:1] > b"~") else ""
         look = 3 * spelled if not word[:1].isupper() else 1 if len(word) == 1 or word[1:].islower() else 2 * word.isupper()
         self.rows.append((self.digest(low), kind, look, raw[-1:] in b".!?"))
         self[raw] = self.count
