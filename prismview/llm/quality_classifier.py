@@ -172,7 +172,7 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, key: str = "doc_id",
                       F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), F.col(text).alias("_text"))
     known = labels.where("good is not null").groupBy(F.col(key).alias("_label")).agg(F.count_if("good").alias("n_good"), F.count_if(~F.col("good")).alias("n_bad"))
     counted = measured(few, ["_key", "host", "path"], "_text")
-    counted = counted.join(known, counted["_key"] == known["_label"], "left").drop("_label").na.fill(0, ["n_good", "n_bad"])
+    counted = counted.join(known.hint("shuffle_hash"), counted["_key"] == known["_label"], "left").drop("_label").na.fill(0, ["n_good", "n_bad"])
     worded = settled(counted, "quality-measures", rows=TEXTS)
     told, mean = telling_buckets(worded.where("n_good + n_bad > 0"))
     seen = settled(word_levels(worded, told, mean, [c for c in worded.columns if c != "buckets"]), "quality-words", worded, rows=TEXTS)
