@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -10,8 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismview.functions.quantiles import group_median
+from prismview.functions.scalars import interpolated
 from prismview.functions.shared import IN_A_TASK
 from prismview.operators import curves as cv
+from prismview.operators.conversions import EARLY_SHARE, Halo, aperture_less_profile, aperture_share
 
 
 @dataclass(frozen=True)
@@ -24,7 +27,7 @@ class Relation:
     formula: Callable[[Column], Column] | None
     kind: str = "fit"
     fit_offset: bool = False
-    nodes: tuple[tuple[float, float], ...] = ()
+    nodes: tuple[tuple[float, float], ...] = ()  # of a polyline; of an upright threshold (no formula) its two ends
 
 
 def halo_fraction(z: float) -> tuple[float, float, float, float]:
@@ -45,7 +48,41 @@ def halo_polynomial(x: Column, z: float) -> Column:
 
 
 AGE = 12.2  # Gyr at z = 0.1
-#: Coefficients and ranges as published, without conversions between mass scales.
+#: Halo definitions of the two halo relations, and what brings their masses to ours. HEAVIER: stellar masses of one initial mass
+#: function to those of the other; RED: log radius in the r band less that in the z band, of late and early types and of all.
+MO13, B13 = Halo("200c", 0.704, 0.272), Halo("vir", 0.7, 0.27)
+PER_H = math.log10(0.704 / 0.7)
+HEAVIER = round(math.log10(0.66 / 0.61), 4)
+RED = {"late": 0.029, "early": 0.024, "all": 0.027}
+#: Medians of the gas fraction by mass.
+GAS_MEDIANS = ((9.14, -0.092), (9.44, -0.320), (9.74, -0.656), (10.07, -0.854), (10.34, -1.278), (10.65, -1.223), (10.95, -1.707), (11.20, -1.785))
+DENSE = math.log10(3e8) - 2 * RED["all"]
+
+
+def mo13(x: Column) -> Column:
+    """Stellar mass at our halo mass: brought to the source's definition, read there, and brought back."""
+    return cv.double_power_fraction(MO13.from_mean(x - PER_H), *halo_fraction(0.1)) + (HEAVIER + 2 * PER_H)
+
+
+def b13(x: Column) -> Column:
+    return halo_polynomial(B13.from_mean(x), 0.1) + HEAVIER
+
+
+def our_halo_range(halo: Halo, low: float, high: float, shift: float = 0.0) -> tuple[float, float]:
+    """A range of the source's halo masses on our scale."""
+    low, high = (halo.to_mean(np.array([low, high])) + shift).tolist()
+    return low, high
+
+
+def size(x: Column, early: bool) -> Column:
+    """Median radius within the aperture in the r band, from the profile radius in the z band."""
+    z_band = math.log10(2.88e-6) + 0.56 * x if early else math.log10(0.10) + 0.14 * x + (0.39 - 0.14) * F.log10(1 + F.pow(F.lit(10.0), x) / 3.98e10)
+    r_band = z_band + RED["early" if early else "late"]
+    return r_band + aperture_less_profile(r_band, early, EARLY_SHARE if early else LATE_SHARE)
+
+
+LATE_SHARE = aperture_share(1.0)
+#: Coefficients and ranges as published, on our scales.
 RELATIONS = {r.id: r for r in (
     Relation("T04", {"logM": 1}, {"OH": 1}, 8.5, 11.5, lambda x: cv.polynomial(x, [-1.492, 1.847, -0.08026])),
     Relation("KE08", {"logM": 1}, {"OH_PP04": 1}, 8.5, 11.0, lambda x: cv.polynomial(x, [32.1488, -8.51258, 0.976384, -0.0359763])),
@@ -64,9 +101,13 @@ RELATIONS = {r.id: r for r in (
     Relation("K03", {"N2Ha": 1}, {"O3Hb": 1}, -2.5, 0.0, lambda x: cv.hyperbola(x, 0.61, 0.05, 1.3), "demarcation"),
     Relation("K01", {"N2Ha": 1}, {"O3Hb": 1}, -2.5, 0.4, lambda x: cv.hyperbola(x, 0.61, 0.47, 1.19), "demarcation"),
     Relation("S07", {"N2Ha": 1}, {"O3Hb": 1}, -0.184, 1.0, lambda x: cv.line(x, 1.05, 0.45), "demarcation"),
-    Relation("Mo13", {"logMh": 1}, {"logM": 1}, 11.0, 15.0, lambda x: cv.double_power_fraction(x, *halo_fraction(0.1))),
-    Relation("B13", {"logMh": 1}, {"logM": 1}, 10.5, 15.0, lambda x: halo_polynomial(x, 0.1)),
-    Relation("H12", {"logM": 1}, {"logfHI": 1}, 7.0, 11.25, lambda x: cv.two_piece(x, 9.0, (0.712, 3.117), (0.276, 7.042)) - x),
+    Relation("Mo13", {"logMh": 1}, {"logM": 1}, *our_halo_range(MO13, 11.0, 15.0, PER_H), mo13),
+    Relation("B13", {"logMh": 1}, {"logM": 1}, *our_halo_range(B13, 10.5, 15.0), b13),
+    Relation("H12", {"logM": 1}, {"logfHI": 1}, 7.0 + HEAVIER, 11.25 + HEAVIER, lambda x: cv.two_piece(x - HEAVIER, 9.0, (0.712, 3.117), (0.276, 7.042)) - x),
+    Relation("C18", {"logM": 1}, {"logfHI": 1}, 9.14, 11.20, lambda x: interpolated(list(GAS_MEDIANS), x), "median", nodes=GAS_MEDIANS),
+    Relation("S03L", {"logM": 1}, {"logR50": 1}, 8.7, 11.8, lambda x: size(x, False)),
+    Relation("S03E", {"logM": 1}, {"logR50": 1}, 10.0, 11.9, lambda x: size(x, True)),
+    Relation("K03S", {"logSigma": 1}, {"logsSFR": 1}, DENSE, DENSE, None, "threshold", nodes=((DENSE, -14.0), (DENSE, -8.0))),
 )}
 
 
@@ -79,15 +120,25 @@ def combined(combo: dict[str, float]) -> Column:
 
 
 def points(spark: SparkSession, relation: Relation, n: int = 61) -> DataFrame:
-    """k, ax, ay: a relation sampled over its range, four decimals."""
-    step = (relation.high - relation.low) / (n - 1)
-    x = F.round(relation.low + F.col("id") * step, 4)
-    return spark.range(n).select(F.col("id").alias("k"), x.alias("ax"), F.round(relation.formula(x), 4).alias("ay")).where("ay is not null")
+    """k, ax, ay: a relation sampled over its range, four decimals; a polyline's own nodes are among the points."""
+    at = F.col("id") / (n - 1)
+    if relation.formula is None:
+        (x0, y0), (x1, y1) = relation.nodes
+        return spark.range(n).select(F.col("id").alias("k"), F.round(x0 + at * (x1 - x0), 4).alias("ax"), F.round(y0 + at * (y1 - y0), 4).alias("ay"))
+    x = F.round(F.least(relation.low + at * (relation.high - relation.low), F.lit(relation.high)), 4)
+    k = spark.range(n).select(F.col("id").alias("k"), x.alias("ax"))
+    if relation.nodes:
+        every = sorted({round(relation.low + i / (n - 1) * (relation.high - relation.low), 4) for i in range(n)} | {float(v[0]) for v in relation.nodes})
+        k = spark.createDataFrame(list(enumerate(every)), "k long, ax double")
+    inside = F.greatest(F.least(F.col("ax"), F.lit(relation.high)), F.lit(relation.low))
+    return k.select("k", "ax", F.round(relation.formula(inside), 4).alias("ay")).where("ay is not null")
 
 
 def residual(relation: Relation) -> Column:
-    """y less the relation, null outside its range."""
+    """y less the relation, null outside its range; of an upright threshold x less the threshold."""
     x = combined(relation.x)
+    if relation.formula is None:
+        return x - F.lit(relation.low)
     return F.when(x.between(relation.low, relation.high), combined(relation.y) - relation.formula(x))
 
 

@@ -4,13 +4,15 @@ Importing this module registers its queries in the same tables as ``catalog``.""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prismview.functions import scalars as s
 from prismview.functions import text as tx
 from prismview.functions.shared import scratch, settled, table
-from prismview.operators import cluster, encode, ingest, project, relations, stats, trends
+from prismview.operators import cluster, conversions, encode, ingest, project, relations, stats, trends
 from prismview.plans.catalog import _DAYS, ORACLE_SQL, QUERIES, WITH, _days, query  # noqa: F401
 from prismview.plans.facts import DIMS, RANGES, SEED, SQL, facts
 from prismview.sources import acquire, columns, export, readers
@@ -147,6 +149,110 @@ def relation_residuals(spark, d):
     return relations.median_residuals(t, ["Q11s"]).select("id", "n", F.round("mid", 6).alias("mid"))
 
 
+def _halved(name: str, source: str, low: str, high: str, excess: str, out: str, steps: int = 50) -> str:
+    """SQL of the root ``out`` of a rising ``excess`` of u for each row of source, by a recursive table of brackets."""
+    return (f"{name}_r AS (SELECT *, {low} AS lo, {high} AS hi, 0 AS i FROM {source} UNION ALL SELECT * EXCLUDE (lo, hi, i, u, e), CASE WHEN e > 0 THEN lo ELSE u END, CASE WHEN e > 0 THEN u ELSE hi END, i + 1"
+            f" FROM (SELECT *, {excess} AS e FROM (SELECT *, (lo + hi) / 2 AS u FROM {name}_r WHERE i < {steps}))), {name} AS (SELECT * EXCLUDE (lo, hi, i), (lo + hi) / 2 AS {out} FROM {name}_r WHERE i = {steps})")
+
+
+def _enclosed(x: str) -> str:
+    return f"(ln(1 + {x}) - ({x}) / (1 + {x}))"
+
+
+def _concentration(halo, m: str) -> str:
+    norm, slope, evolution = conversions.CONCENTRATION[halo.kind]
+    return f"({norm * (1 + halo.z) ** evolution!r}::DOUBLE * pow(10.0::DOUBLE, {slope!r}::DOUBLE * ({m} + {math.log10(halo.h / conversions.PIVOT)!r}::DOUBLE)))"
+
+
+def _from_mean(halo, shift: float) -> str:
+    c = _concentration(halo, "u")
+    x = f"({c} * pow(10.0::DOUBLE, (m - {shift!r}::DOUBLE - u - {math.log10(halo.thinner())!r}::DOUBLE) / 3))"
+    return f"u + log10({_enclosed(x)} / {_enclosed(c)}) - (m - {shift!r}::DOUBLE)"
+
+
+_HALO = conversions.Halo("vir", 0.7, 0.27)
+_C = _concentration(_HALO, "m")
+
+
+@query(f"""WITH RECURSIVE v AS (SELECT o_orderkey AS k, 11 + (o_custkey % 400) / 100.0::DOUBLE AS m FROM orders), p AS (SELECT DISTINCT m, {_C} AS c FROM v),
+{_halved("w", "p", "log10(c) - 3", "log10(c) + 3", f"{_enclosed('c')} * {_HALO.thinner()!r}::DOUBLE / pow(c, 3) - {_enclosed('pow(10.0::DOUBLE, u)')} / pow(10.0::DOUBLE, 3 * u)", "x")}
+SELECT k, round(m, 6) AS m, round(m + log10({_enclosed("pow(10.0::DOUBLE, x)")} / {_enclosed("c")}), 6) AS wide, round(m, 6) AS back FROM v JOIN w USING (m)""")
+def halo_masses(spark, d):
+    """Masses of one definition on the scale of another, and back: an equation solved in every row."""
+    t = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), (11 + (F.col("o_custkey") % 400) / F.lit(100.0)).alias("m"))
+    t = t.withColumn("wide", _HALO.to_mean(F.col("m")))
+    return t.select("k", *_six(m=F.col("m"), wide=F.col("wide"), back=_HALO.from_mean(F.col("wide"))))
+
+
+_CONVERTED = ("Mo13", "B13", "H12", "C18", "S03L", "S03E", "K03S")
+
+
+def _size_sql(early: bool) -> tuple[str, str, str]:
+    """The r-band radius, what is solved for its magnitude u, and the radius within the aperture at the magnitude mag."""
+    far, near = conversions.APERTURE_FIT, conversions.PROFILE_FIT
+    z = f"{math.log10(2.88e-6)!r}::DOUBLE + 0.56::DOUBLE * m" if early else "-1 + 0.14::DOUBLE * m + 0.25::DOUBLE * log10(1 + pow(10.0::DOUBLE, m) / 3.98e10)"
+    at = (lambda f, u: f"({f.b!r}::DOUBLE - 0.4::DOUBLE * {f.a!r}::DOUBLE * ({u}))") if early else (
+        lambda f, u: f"({f.gamma!r}::DOUBLE - 0.4::DOUBLE * {f.alpha!r}::DOUBLE * ({u}) + {f.beta - f.alpha!r}::DOUBLE * log10(1 + pow(10.0::DOUBLE, -0.4::DOUBLE * ({u} - {f.turn!r}::DOUBLE))))")
+    share = conversions.EARLY_SHARE if early else relations.LATE_SHARE
+    return f"{z} + {relations.RED['early' if early else 'late']!r}::DOUBLE", f"r - {at(near, 'u')}", at(far, f"mag - {2.5 * math.log10(share)!r}::DOUBLE")
+
+
+_NUMBERS = relations.halo_fraction(0.1)
+_A1 = 1 / 1.1
+_NU = math.exp(-4 * _A1 * _A1)
+_B13 = dict(turn=11.514 + (-1.793 * (_A1 - 1) - 0.251 * 0.1) * _NU, eps=-1.777 - 0.006 * (_A1 - 1) * _NU - 0.119 * (_A1 - 1), alpha=-1.412 + 0.731 * (_A1 - 1) * _NU,
+            delta=3.508 + (2.608 * (_A1 - 1) - 0.043 * 0.1) * _NU, gamma=0.316 + (1.319 * (_A1 - 1) + 0.279 * 0.1) * _NU)
+_BEND = lambda u: f"(-log10(pow(10.0::DOUBLE, {_B13['alpha']!r}::DOUBLE * ({u})) + 1) + {_B13['delta']!r}::DOUBLE * pow(log10(1 + exp({u})), {_B13['gamma']!r}::DOUBLE) / (1 + exp(pow(10.0::DOUBLE, -({u})))))"
+_LATE, _EARLY = _size_sql(False), _size_sql(True)
+_GAS = ", ".join(f"({a[0]}, {b[0]}, {a[1]}, {b[1]})" for a, b in zip(relations.GAS_MEDIANS, relations.GAS_MEDIANS[1:], strict=False))
+_IN = lambda i: f"m BETWEEN {relations.RELATIONS[i].low!r}::DOUBLE AND {relations.RELATIONS[i].high!r}::DOUBLE"
+
+
+@query(f"""WITH RECURSIVE t AS (SELECT 10 + (o_orderkey % 400) / 80.0::DOUBLE AS halo, 7 + (o_orderkey % 400) / 80.0::DOUBLE AS mass, (o_custkey % 300) / 100.0::DOUBLE AS y FROM orders),
+h AS (SELECT DISTINCT halo AS m FROM t), g AS (SELECT DISTINCT mass AS m FROM t),
+{_halved("mo", "h", f"m - {relations.PER_H!r}::DOUBLE - 1", f"m - {relations.PER_H!r}::DOUBLE + 1", _from_mean(relations.MO13, relations.PER_H), "s")},
+{_halved("be", "h", "m - 1", "m + 1", _from_mean(relations.B13, 0.0), "s")},
+late AS (SELECT m, {_LATE[0]} AS r FROM g), early AS (SELECT m, {_EARLY[0]} AS r FROM g),
+{_halved("l", "late", "-27.0::DOUBLE", "-12.0::DOUBLE", _LATE[1], "mag")}, {_halved("e", "early", "-27.0::DOUBLE", "-12.0::DOUBLE", _EARLY[1], "mag")},
+seg(x0, x1, y0, y1) AS (VALUES {_GAS}),
+c AS (SELECT 'Mo13' AS id, m, s + log10({2 * _NUMBERS[0]!r}::DOUBLE / (pow(10.0::DOUBLE, {-_NUMBERS[2]!r}::DOUBLE * (s - {_NUMBERS[1]!r}::DOUBLE)) + pow(10.0::DOUBLE, {_NUMBERS[3]!r}::DOUBLE * (s - {_NUMBERS[1]!r}::DOUBLE)))) + {relations.HEAVIER + 2 * relations.PER_H!r}::DOUBLE AS f FROM mo WHERE {_IN("Mo13")}
+  UNION ALL SELECT 'B13', m, {_B13['eps'] + _B13['turn'] + relations.HEAVIER!r}::DOUBLE + {_BEND(f"s - {_B13['turn']!r}::DOUBLE")} - {_BEND("0.0::DOUBLE")} FROM be WHERE {_IN("B13")}
+  UNION ALL SELECT 'H12', m, CASE WHEN m - {relations.HEAVIER!r}::DOUBLE < 9 THEN 0.712::DOUBLE * (m - {relations.HEAVIER!r}::DOUBLE) + 3.117 ELSE 0.276::DOUBLE * (m - {relations.HEAVIER!r}::DOUBLE) + 7.042 END - m FROM g WHERE {_IN("H12")}
+  UNION ALL SELECT 'C18', m, any_value(y0 + (y1 - y0) * ((m - x0) / (x1 - x0)::DOUBLE)) FROM g JOIN seg ON m BETWEEN x0 AND x1 GROUP BY m
+  UNION ALL SELECT 'S03L', m, {_LATE[2]} FROM l WHERE {_IN("S03L")} UNION ALL SELECT 'S03E', m, {_EARLY[2]} FROM e WHERE {_IN("S03E")}),
+q AS (SELECT id, y + CASE id WHEN 'Mo13' THEN 8 WHEN 'B13' THEN 8 WHEN 'S03L' THEN 0 WHEN 'S03E' THEN 0 ELSE -2 END - f AS r FROM t JOIN c ON c.m = CASE WHEN id IN ('Mo13', 'B13') THEN halo ELSE mass END
+  UNION ALL SELECT 'K03S', mass - {relations.DENSE!r}::DOUBLE FROM t)
+SELECT id, count(r) AS n, round(CASE WHEN count(r) < 50 THEN 0 ELSE median(r) END, 5) AS mid FROM (VALUES {", ".join(f"('{i}')" for i in _CONVERTED)}) AS every(id) LEFT JOIN q USING (id) GROUP BY id""")
+def converted_residuals(spark, d):
+    """How far rows lie from the relations that need another mass scale, another radius or a table of medians."""
+    k, c = F.col("o_custkey") % 300 / F.lit(100.0), F.col("o_orderkey") % 400 / F.lit(80.0)
+    halo = table(spark, d, "orders").select((c + 10).alias("logMh"), (k + 8).alias("logM"))
+    mass = table(spark, d, "orders").select((c + 7).alias("logM"), (c + 7).alias("logSigma"), (k - 2).alias("logfHI"), k.alias("logR50"))
+    both = relations.median_residuals(halo, ["Mo13", "B13"]).union(relations.median_residuals(mass, list(_CONVERTED[2:])))
+    return both.select("id", "n", F.round("mid", 5).alias("mid"))
+
+
+def _share_sql(r: str) -> str:
+    """Share of the light within r: the series of the incomplete gamma function with its terms written out by their logarithms."""
+    return f"coalesce(list_sum(list_transform(range(160), lambda j: exp((2 * n + j) * ln(b * pow({r}, 1 / n)) - b * pow({r}, 1 / n) - lgamma(2 * n + j + 1)))), 0)"
+
+
+_WHOLE = f"CASE WHEN b * pow({{0}}, 1 / n) > 2 * n + 20 + 8 * sqrt(2 * n) THEN 1 ELSE {_share_sql('{0}')} END"
+_AT = lambda r: "(" + _WHOLE.replace("{0}", r) + ")"
+_HALF = "coalesce(list_sum(list_transform(range(160), lambda j: exp((2 * n + j) * ln(u) - u - lgamma(2 * n + j + 1)))), 0) - 0.5"
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT DISTINCT (p_size % 8 + 1) / 2.0::DOUBLE AS n FROM part), {_halved("hb", "p", "0.001::DOUBLE", "2 * n + 1", _HALF, "b")},
+{_halved("hr", "hb", "log10(0.05::DOUBLE)", "log10(50.0::DOUBLE)", f"0.2::DOUBLE * (1.25::DOUBLE * 1.25 - 0.8::DOUBLE * 0.8) * {_AT('pow(10.0::DOUBLE, u)')} - ({_AT('(1.25::DOUBLE * pow(10.0::DOUBLE, u))')} - {_AT('(0.8::DOUBLE * pow(10.0::DOUBLE, u))')})", "lr", 40)},
+hs AS (SELECT n, b, pow(10.0::DOUBLE, lr) AS ring, {_AT('(2 * pow(10.0::DOUBLE, lr))')} AS share FROM hr), {_halved("hh", "hs", "0.0001::DOUBLE", "2 * ring", f"{_AT('u')} - share / 2", "half")}
+SELECT n, round(b, 6) AS b, round(ring, 6) AS ring, round(share, 6) AS share, round(half, 6) AS half, parts FROM hh JOIN (SELECT (p_size % 8 + 1) / 2.0::DOUBLE AS n, count(*) AS parts FROM part GROUP BY 1) USING (n)""")
+def profile_constants(spark, d):
+    """Half-light, ring and aperture constants of the profile indices in a table, solved once per different index."""
+    t = table(spark, d, "part").select(((F.col("p_size") % 8 + 1) / F.lit(2.0)).alias("index")).groupBy("index").agg(F.count("*").alias("parts"))
+    got = conversions.profile_constants(t, "index")
+    return got.join(t, got["n"] == t["index"]).select("n", *_six(**{c: F.col(c) for c in ("b", "ring", "share", "half")}), "parts")
+
+
 def _clusters(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("row_id"), (F.col("o_custkey") % 97).cast("int").alias("cluster"), F.col("o_totalprice").cast("double").alias("dist"), (F.col("o_orderstatus") == "O").alias("local"))
     return cluster.ranked_in_cluster(o, "row_id")

@@ -55,13 +55,14 @@ class ViewSpec:
     window: tuple[float, float, float, float] = field(default=(-3.0, 3.0, -3.0, 3.0))
 
     def with_axis(self, axis: str, key: str) -> ViewSpec:
-        """key alone on one axis; if the other axis already is that dimension, the two axes swap."""
-        other = self.y if axis == "x" else self.x
-        weight = dict(other)
+        """key alone on one axis and the other axis kept; if that one already is (nearly) this dimension, it takes what was on the first."""
+        if axis not in ("x", "y"):
+            raise ValueError(f"no axis {axis}")
+        rest = "y" if axis == "x" else "x"
+        weight = dict(getattr(self, rest))
         norm = math.sqrt(sum(v * v for v in weight.values())) or 1.0
-        if abs(weight.get(key, 0.0)) / norm > 0.9:
-            return replace(self, x=self.y, y=self.x)
-        return replace(self, **{axis: ((key, 1.0),)})
+        kept = getattr(self, axis) if abs(weight.get(key, 0.0)) / norm > 0.9 else getattr(self, rest)
+        return replace(self, **{axis: ((key, 1.0),), rest: kept})
 
     def with_filter(self, key: str, low: float, high: float) -> ViewSpec:
         return replace(self, ranges=tuple(r for r in self.ranges if r[0] != key) + ((key, low, high),))
