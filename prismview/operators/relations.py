@@ -14,7 +14,7 @@ from prismview.functions.quantiles import group_median
 from prismview.functions.scalars import interpolated
 from prismview.functions.shared import IN_A_TASK
 from prismview.operators import curves as cv
-from prismview.operators.conversions import EARLY_SHARE, Halo, aperture_less_profile, aperture_share
+from prismview.operators.conversions import EARLY_SHARE, Halo, aperture_less_profile, aperture_share, once
 
 
 @dataclass(frozen=True)
@@ -61,11 +61,11 @@ DENSE = math.log10(3e8) - 2 * RED["all"]
 
 def mo13(x: Column) -> Column:
     """Stellar mass at our halo mass: brought to the source's definition, read there, and brought back."""
-    return cv.double_power_fraction(MO13.from_mean(x - PER_H), *halo_fraction(0.1)) + (HEAVIER + 2 * PER_H)
+    return once(x - PER_H, lambda m: once(MO13.from_mean(m), lambda s: cv.double_power_fraction(s, *halo_fraction(0.1)))) + (HEAVIER + 2 * PER_H)
 
 
 def b13(x: Column) -> Column:
-    return halo_polynomial(B13.from_mean(x), 0.1) + HEAVIER
+    return once(x, lambda m: once(B13.from_mean(m), lambda s: halo_polynomial(s, 0.1))) + HEAVIER
 
 
 def our_halo_range(halo: Halo, low: float, high: float, shift: float = 0.0) -> tuple[float, float]:
@@ -78,7 +78,7 @@ def size(x: Column, early: bool) -> Column:
     """Median radius within the aperture in the r band, from the profile radius in the z band."""
     z_band = math.log10(2.88e-6) + 0.56 * x if early else math.log10(0.10) + 0.14 * x + (0.39 - 0.14) * F.log10(1 + F.pow(F.lit(10.0), x) / 3.98e10)
     r_band = z_band + RED["early" if early else "late"]
-    return r_band + aperture_less_profile(r_band, early, EARLY_SHARE if early else LATE_SHARE)
+    return once(r_band, lambda r: r + aperture_less_profile(r, early, EARLY_SHARE if early else LATE_SHARE))
 
 
 LATE_SHARE = aperture_share(1.0)

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from prismview.functions import scalars as s
 from prismview.functions import text as tx
 from prismview.functions.shared import scratch, settled, table
-from prismview.operators import cluster, conversions, encode, ingest, project, relations, stats, trends
+from prismview.operators import cluster, conversions, encode, ingest, polygons, project, relations, stats, trends
 from prismview.plans.catalog import _DAYS, ORACLE_SQL, QUERIES, WITH, _days, query  # noqa: F401
 from prismview.plans.facts import DIMS, RANGES, SEED, SQL, facts
 from prismview.sources import acquire, columns, export, readers
@@ -253,6 +253,25 @@ def profile_constants(spark, d):
     return got.join(t, got["n"] == t["index"]).select("n", *_six(**{c: F.col(c) for c in ("b", "ring", "share", "half")}), "parts")
 
 
+_STAR = ((0, 10), (6, -8), (-10, 3), (10, 3), (-6, -8))  # crosses itself: its middle is outside by the even-odd rule
+
+
+@query(f"""WITH v AS (SELECT p_partkey AS polygon, (p_partkey * 37) % 10000 AS cx, (p_partkey * 53) % 5000 AS cy, 5 + p_size % 15 AS s FROM part),
+g AS (SELECT polygon, {", ".join(f"(cx + {x} * s) / 100.0::DOUBLE AS x{i}, (cy + {y} * s) / 100.0::DOUBLE AS y{i}" for i, (x, y) in enumerate(_STAR))} FROM v),
+p AS (SELECT l_extendedprice / 1000 AS x, round(l_extendedprice * 100)::BIGINT AS cents, l_quantity + (l_orderkey % 100) / 100.0::DOUBLE AS y FROM lineitem),
+m AS (SELECT *, {" + ".join(f"CASE WHEN (y{i} > y) <> (y{j} > y) AND x < (x{j} - x{i}) * (y - y{i}) / nullif(y{j} - y{i}, 0) + x{i} THEN 1 ELSE 0 END" for i, j in ((k, (k + 1) % 5) for k in range(5)))} AS crossings
+  FROM p JOIN g ON y >= least(y1, y4) AND y <= y0 AND x >= x2 AND x <= x3)
+SELECT polygon, count(*) AS n, sum(cents)::BIGINT AS cents FROM m WHERE crossings % 2 = 1 GROUP BY polygon""")
+def polygon_counts(spark, d):
+    """Rows in each of many polygons, one for each part."""
+    k, size = F.col("p_partkey"), 5 + F.col("p_size") % 15
+    star = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(x).alias("x"), F.lit(y).alias("y")) for i, (x, y) in enumerate(_STAR)])
+    v = table(spark, d, "part").select(k.alias("polygon"), (k * 37 % 10000).alias("cx"), (k * 53 % 5000).alias("cy"), size.alias("s"), F.explode(star).alias("v"))
+    v = v.select("polygon", "v.i", ((F.col("cx") + F.col("v.x") * F.col("s")) / F.lit(100.0)).alias("x"), ((F.col("cy") + F.col("v.y") * F.col("s")) / F.lit(100.0)).alias("y"))
+    p = table(spark, d, "lineitem").select((F.col("l_extendedprice") / 1000).alias("x"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"), (F.col("l_quantity") + F.col("l_orderkey") % 100 / F.lit(100.0)).alias("y"))
+    return polygons.in_polygons(p, F.col("x"), F.col("y"), v).groupBy("polygon").agg(F.count("*").alias("n"), F.sum("cents").alias("cents"))
+
+
 def _clusters(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("row_id"), (F.col("o_custkey") % 97).cast("int").alias("cluster"), F.col("o_totalprice").cast("double").alias("dist"), (F.col("o_orderstatus") == "O").alias("local"))
     return cluster.ranked_in_cluster(o, "row_id")

@@ -18,6 +18,16 @@ def test_bisection_of_columns(spark):
     assert ends[0] == pytest.approx(0) and ends[1] == pytest.approx(1)  # no crossing: the nearer end
 
 
+def test_chords(spark):
+    for f in (lambda u: u * u * u - 2, lambda u: u ** 5 + u - 1.5, lambda u: 3 * u - 4):
+        want = cv.bisected(f, np.array([0.0]), np.array([2.0]))[0]
+        assert cv.crossed(f, np.array([0.0]), np.array([2.0]))[0] == pytest.approx(want, abs=1e-9)
+        assert spark.range(1).select(cv.crossed(f, F.lit(0.0), F.lit(2.0))).first()[0] == pytest.approx(want, abs=1e-9)
+    x = F.col("x")
+    got = [r[0] for r in spark.createDataFrame([(None,), (float("nan"),), (float("inf"),), (-7.0,), (9.0,), (0.0,)], "x double").select(cv.crossed(lambda u: u - x, x * 0, x * 0 + 1)).collect()]
+    assert got == [None, None, None, 0.0, 1.0, 0.0]
+
+
 @pytest.mark.parametrize("halo", [cv.Halo("200c", 0.704, 0.272), cv.Halo("vir", 0.7, 0.27)])
 def test_halo_masses(spark, halo):
     lm = np.linspace(10.5, 15, 19)
