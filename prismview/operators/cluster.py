@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismview.functions.shared import importable, ranked
+from prismview.functions.shared import importable, ranked, settled
 
 #: Centres that are sent to every task at most (with 1,000 dimensions 512 MB).
 MOST_CENTERS = 1 << 16
@@ -29,6 +32,136 @@ def kmeans(df: DataFrame, features: list[str], k: int, row_id: str, seed: int =
     return ranked_in_cluster(out, row_id)
 
 
+#: Rows that a partition of a batch offers as new places for starved centres.
+SPARE = 16
+#: Centres that move after a pass, at most.
+MOVES = 1 << 10
+
+
+def _nearest(v: np.ndarray, at: np.ndarray, norms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each row and its squared distance, by products of blocks of rows with all centres (32 MB a block)."""
+    which, far = np.empty(len(v), dtype=np.int64), np.empty(len(v))
+    step = max(1, (1 << 22) // len(at))
+    for lo in range(0, len(v), step):
+        x = v[lo:lo + step]
+        d = norms - 2 * (x @ at.T)
+        which[lo:lo + step] = i = d.argmin(axis=1)
+        far[lo:lo + step] = np.maximum(d[np.arange(len(x)), i] + (x * x).sum(axis=1), 0.0)
+    return which, far
+
+
+def _batch_sums(rows: DataFrame, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[float, tuple[float, ...]]], float]:
+    """Of a batch (_v): members and vector sums of each centre, the farthest rows with their distances (a few a partition), and the sum of squared distances.
+
+    A partition sends one row per centre it met, so what is shuffled and what the driver gets grows with the centres, not with the rows.
+    """
+    k, width = at.shape
+    held = rows.sparkSession.sparkContext.broadcast((at, (at * at).sum(axis=1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centers, norms = held.value
+        n, sums, total, spare = np.zeros(len(centers)), np.zeros(centers.shape), 0.0, []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            v = b.column(0).flatten().to_numpy().reshape(b.num_rows, -1)
+            which, far = _nearest(v, centers, norms)
+            n += np.bincount(which, minlength=len(centers))
+            order = np.argsort(which, kind="stable")
+            first = np.flatnonzero(np.diff(which[order], prepend=-1))
+            sums[which[order][first]] += np.add.reduceat(v[order], first, axis=0)
+            total += far.sum()
+            spare += [(float(far[i]), v[i]) for i in np.argsort(-far, kind="stable")[:SPARE]]
+            spare = sorted(spare, key=lambda x: -x[0])[:SPARE]
+        some = np.flatnonzero(n)
+        kinds = [*some, *[-1] * len(spare), *([-2] if len(some) else [])]
+        numbers = [*n[some], *[x[0] for x in spare], *([total] if len(some) else [])]
+        vectors = [*sums[some], *[x[1] for x in spare], *([np.zeros(centers.shape[1])] if len(some) else [])]
+        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(numbers, pa.float64()), pa.array(vectors, pa.list_(pa.float64()))], ["cluster", "n", "s"])
+
+    # each of the farthest rows stays a row: it is told apart by its distance
+    part = rows.select("_v").mapInArrow(run, "cluster int, n double, s array<double>")
+    got = part.groupBy("cluster", F.when(F.col("cluster") == -1, F.col("n")).alias("far")).agg(F.sum("n").alias("n"), F.array(*[F.sum(F.get("s", F.lit(i))) for i in range(width)]).alias("s")).collect()
+    held.unpersist()
+    n, sums, total = np.zeros(k), np.zeros(at.shape), 0.0
+    spare = [(r["far"], tuple(r["s"])) for r in got if r["cluster"] == -1 and r["n"] == r["far"]]
+    for r in got:
+        if r["cluster"] >= 0:
+            n[r["cluster"]], sums[r["cluster"]] = r["n"], r["s"]
+        elif r["cluster"] == -2:
+            total = r["n"]
+    return n, sums, spare, total
+
+
+def _reseeded(at: np.ndarray, weight: np.ndarray, members: np.ndarray, spare: list[tuple[float, tuple[float, ...]]]) -> None:
+    """Move centres that are starved to the farthest rows, in place.
+
+    Without a centre its rows would go to the next one, at a cost of about their number times the squared distance of the two. It moves where
+    a far row's squared distance is more than that. A centre that takes another's rows stays, and rows near a row that has got a centre don't count again.
+    """
+    norms = (at * at).sum(axis=1)
+    poor = np.argsort(members, kind="stable")[:MOVES]
+    d = np.maximum(norms[poor, None] - 2 * (at[poor] @ at.T) + norms, 0.0)
+    d[np.arange(len(poor)), poor] = np.inf
+    heir = d.argmin(axis=1)
+    cost = members[poor] * np.where(np.isfinite(d.min(axis=1)), d.min(axis=1), np.inf) if len(at) > 1 else np.full(len(poor), np.inf)
+    far, rows = np.array([x for x, _ in spare]), np.array([x for _, x in spare]).reshape(len(spare), -1)
+    kept, gone = set(), set()
+    for i in np.argsort(cost, kind="stable"):
+        if not len(far) or far.max() <= cost[i]:
+            break
+        c = int(poor[i])
+        if c in kept or int(heir[i]) in gone:
+            continue
+        best = int(far.argmax())
+        at[c], weight[c] = rows[best], 0.0
+        gone.add(c)
+        kept.add(int(heir[i]))
+        far = np.minimum(far, ((rows - rows[best]) ** 2).sum(axis=1))
+
+
+def minibatch_kmeans(df: DataFrame, features: list[str] | str, k: int, row_id: str, batch: int = 1 << 18, passes: int = 6, seed: int = 1) -> DataFrame:
+    """cluster, center (array), members (rows of the last pass): k-means with up to ``MOST_CENTERS`` centres, by mini-batches.
+
+    features: numeric columns, or one column of arrays of equal length. Rows with a missing feature are left out. The rows are put into
+    a seeded order by a hash, written in it, and read range by range, about ``batch`` rows at a time; each of the ``passes`` meets all rows once.
+    A centre moves to the mean of all rows it has been given, with less weight on earlier passes (they are halved). After a pass but
+    the last two, starved centres move (``_reseeded``). It starts with the
+    first k different rows of the order, so fewer rows than centres give a centre per different row. The same table, seed and
+    sizes give the same centres up to the rounding of sums.
+    """
+    if not 0 < k <= MOST_CENTERS:
+        raise ValueError(f"from 1 to {MOST_CENTERS} centres")
+    spark = df.sparkSession
+    importable(spark)
+    v = F.col(features) if isinstance(features, str) else F.array(*[F.col(c) for c in features])
+    v = F.transform(v, lambda x: x.cast("double"))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    rows = df.select(F.xxhash64(F.lit(seed), row_id, v).alias("_at"), v.alias("_v"))
+    rows = rows.where(F.col("_v").isNotNull() & F.forall("_v", lambda x: F.coalesce(F.abs(x) < F.lit(float("inf")), F.lit(False))))
+    rows = settled(rows.repartitionByRange(parts, "_at").sortWithinPartitions("_at"), "permuted")  # so that a range is read by its row groups
+    schema = "cluster int, center array<double>, members long"
+    start = rows.groupBy("_v").agg(F.min("_at").alias("_at")).orderBy("_at", "_v").limit(k).collect()  # the centres
+    if not start:
+        return spark.createDataFrame([], schema)
+    at = np.array([r["_v"] for r in start])
+    turns = max(1, -(-rows.count() // batch))
+    bounds = [-(1 << 63) + (i << 64) // turns for i in range(turns)] + [None]
+    weight, members = np.zeros(len(at)), np.zeros(len(at))
+    for p in range(passes):
+        weight, members, spare = weight / 2 if turns > 1 else weight * 0, members * 0, []
+        for low, high in zip(bounds, bounds[1:], strict=False):
+            some = rows.where(F.col("_at") >= low) if high is None else rows.where((F.col("_at") >= low) & (F.col("_at") < high))
+            n, sums, far, _ = _batch_sums(some, at)
+            weight, members = weight + n, members + n
+            hit = n > 0
+            at[hit] += (sums[hit] - n[hit, None] * at[hit]) / weight[hit, None]
+            spare = sorted(spare + far, reverse=True)[:MOVES]
+        if p < passes - 2:
+            _reseeded(at, weight, members, spare)
+    return spark.createDataFrame([(i, c.tolist(), int(m)) for i, (c, m) in enumerate(zip(at, members, strict=True))], schema)
+
+
 def assign(df: DataFrame, vector: str, centers: DataFrame, row_id: str) -> DataFrame:
     """row_id, cluster, dist (squared) for given centres (cluster, center), MOST_CENTERS at most: one matrix is sent to every task. The
     lower cluster number wins a tie; a null vector has no cluster."""
@@ -84,8 +217,6 @@ def representatives(df: DataFrame, row_id: str, passes, rounds: int = 25) -> Dat
     passes: function from a DataFrame of candidates to those that pass. Each round tests one candidate per cluster, so no
     more rows are tested than need be.
     """
-    from prismview.functions.shared import settled
-
     left, done = df, None
     for k in range(rounds):
         head = left.withColumn("_h", F.row_number().over(Window.partitionBy("cluster").orderBy("rank"))).where("_h = 1").drop("_h")

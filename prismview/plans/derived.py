@@ -253,6 +253,17 @@ def profile_constants(spark, d):
     return got.join(t, got["n"] == t["index"]).select("n", *_six(**{c: F.col(c) for c in ("b", "ring", "share", "half")}), "parts")
 
 
+@query()
+def minibatch_clusters(spark, d):
+    """Representatives of a thousand clusters of lines, found by mini-batches: the centres, and the row nearest to each."""
+    t = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.avg("l_quantity").alias("q"), (F.avg("l_extendedprice") / 1500).alias("e"), (F.avg("l_discount") * 500).alias("x"))
+    t = settled(t.select("l_orderkey", F.array("q", "e", "x").alias("v")), "lines")
+    centers = cluster.minibatch_kmeans(t, "v", 1000, "l_orderkey", passes=4)
+    near = cluster.assign(t, "v", centers, "l_orderkey")
+    first = near.groupBy("cluster").agg(F.min(F.struct("dist", "l_orderkey")).alias("f"), F.count("*").alias("n"))
+    return first.select("cluster", F.col("f.l_orderkey").alias("l_orderkey"), F.round("f.dist", 6).alias("dist"), "n")
+
+
 _STAR = ((0, 10), (6, -8), (-10, 3), (10, 3), (-6, -8))  # crosses itself: its middle is outside by the even-odd rule
 
 
