@@ -83,3 +83,16 @@ def group_medians(df: DataFrame, keys: list[str], value: str, least: int = 1, mo
 def rates(df: DataFrame, keys: list[str], conditions: dict[str, Column]) -> DataFrame:
     """Shares of the rows of each group for which conditions hold (a null counts as not)."""
     return df.groupBy(*keys).agg(F.count("*").alias("n"), *[(F.count_if(c) / F.count("*")).alias(k) for k, c in conditions.items()])
+
+
+#: The ranges that color and redshift are clipped to, the redshift the basis is centred on, and for each power of the redshift how
+#: many powers of the color go with it.
+COLOR_CLIP, REDSHIFT_CLIP, REDSHIFT_MIDDLE, COLOR_POWERS = (-0.5, 2.5), (0.0, 0.3), 0.1, (4, 4, 3)
+
+
+def color_basis(color: Column, redshift: Column) -> list[Column]:
+    """Eleven products of powers of a clipped color and a clipped, centred redshift, for fits and imputation; null where either is missing."""
+    c = F.greatest(F.least(color, F.lit(COLOR_CLIP[1])), F.lit(COLOR_CLIP[0]))
+    t = F.greatest(F.least(redshift, F.lit(REDSHIFT_CLIP[1])), F.lit(REDSHIFT_CLIP[0])) - REDSHIFT_MIDDLE
+    known = color.isNotNull() & redshift.isNotNull() & ~F.isnan(color.cast("double")) & ~F.isnan(redshift.cast("double"))
+    return [F.when(known, F.pow(t, F.lit(float(j))) * F.pow(c, F.lit(float(i)))) for j, n in enumerate(COLOR_POWERS) for i in range(n)]

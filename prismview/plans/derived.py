@@ -264,6 +264,18 @@ def minibatch_clusters(spark, d):
     return first.select("cluster", F.col("f.l_orderkey").alias("l_orderkey"), F.round("f.dist", 6).alias("dist"), "n")
 
 
+_BASIS = ", ".join(f"round(pow(t, {j}) * pow(c, {i}), 6) AS b{j}{i}" for j, n in enumerate(stats.COLOR_POWERS) for i in range(n))
+
+
+@query(f"""WITH v AS (SELECT l_orderkey * 8 + l_linenumber AS k, least(greatest(l_quantity / 12 - 1, -0.5::DOUBLE), 2.5::DOUBLE) AS c, CASE WHEN l_linenumber < 7 THEN least(greatest(l_discount * 5, 0.0::DOUBLE), 0.3::DOUBLE) - 0.1::DOUBLE END AS t FROM lineitem)
+SELECT k, {_BASIS} FROM v""")
+def color_basis(spark, d):
+    """The terms of a fit in a color and a redshift, both clipped."""
+    c, z = F.col("l_quantity") / 12 - 1, F.when(F.col("l_linenumber") < 7, F.col("l_discount") * 5)
+    names = [f"b{j}{i}" for j, n in enumerate(stats.COLOR_POWERS) for i in range(n)]
+    return table(spark, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("k"), *_six(**dict(zip(names, stats.color_basis(c, z), strict=True))))
+
+
 _STAR = ((0, 10), (6, -8), (-10, 3), (10, 3), (-6, -8))  # crosses itself: its middle is outside by the even-odd rule
 
 
