@@ -292,7 +292,7 @@ def polygon_counts(spark, d):
     v = table(spark, d, "part").select(k.alias("polygon"), (k * 37 % 10000).alias("cx"), (k * 53 % 5000).alias("cy"), size.alias("s"), F.explode(star).alias("v"))
     v = v.select("polygon", "v.i", ((F.col("cx") + F.col("v.x") * F.col("s")) / F.lit(100.0)).alias("x"), ((F.col("cy") + F.col("v.y") * F.col("s")) / F.lit(100.0)).alias("y"))
     p = table(spark, d, "lineitem").select((F.col("l_extendedprice") / 1000).alias("x"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"), (F.col("l_quantity") + F.col("l_orderkey") % 100 / F.lit(100.0)).alias("y"))
-    return polygons.in_polygons(p, F.col("x"), F.col("y"), v).groupBy("polygon").agg(F.count("*").alias("n"), F.sum("cents").alias("cents"))
+    return polygons.counted_in_polygons(p, F.col("x"), F.col("y"), v, {"cents": F.col("cents")})
 
 
 def _clusters(spark, d):
