@@ -72,3 +72,11 @@ def test_changed_files_and_malformed_manifests_are_found(spark, rows, tmp_path):
         x.manifest(to)
     with pytest.raises(ValueError, match="no export"):
         x.manifest(f"file://{tmp_path}/none")
+
+
+def test_columns_are_read_back_without_a_broadcast(spark, small):
+    """Packed files are far smaller than their rows, so joins by size would send whole columns through the driver."""
+    from prismview.plans.derived import export_round_trip
+
+    plan = export_round_trip(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
