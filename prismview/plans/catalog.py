@@ -706,8 +706,11 @@ c AS (SELECT p_partkey, j, round({_CDF}, 6) AS p FROM u)
 SELECT p_partkey, max(p) FILTER (WHERE j = 0) AS lo, max(p) FILTER (WHERE j = 1) AS hi FROM c GROUP BY p_partkey""")
 def code_intervals(spark, d):
     """The percentiles that a quantized code covers."""
-    lo, hi = s.code_interval(F.array(*[F.lit(v) for v in _QT]), F.col("p_size") % 60, 0.5, 0.9)
-    return table(spark, d, "part").select("p_partkey", F.round(lo, 6).alias("lo"), F.round(hi, 6).alias("hi"))
+    p = table(spark, d, "part").select("p_partkey", (F.col("p_size") % 60).alias("code"))
+    codes = settled(p.select("code").distinct(), "codes")  # however many rows there are; each code's interval is worked out once
+    lo, hi = s.code_interval(F.array(*[F.lit(v) for v in _QT]), F.col("code"), 0.5, 0.9)
+    each = settled(codes.select(F.col("code").alias("_code"), F.round(lo, 6).alias("lo"), F.round(hi, 6).alias("hi")), "code-intervals", codes)
+    return p.join(F.broadcast(each), p["code"].eqNullSafe(each["_code"])).select("p_partkey", "lo", "hi")  # 65,535 codes at most
 
 
 _I16 = "greatest(-32767, least(32767, floor(x::DOUBLE * 32767 + 0.5)))::BIGINT"

@@ -177,3 +177,10 @@ def test_quantiles_by_range_equal_the_aggregate(spark):
     assert quantiles(d, "v", ps, most=0) == pytest.approx(small, rel=1e-12)
     assert quantiles(d.limit(0), "v", [0.5]) == [None]
     assert quantiles(d.where("v is null"), "v", [0.5, 0.9], most=0) == [None, None]
+
+
+def test_each_code_once(spark, small):
+    from prismview.plans.catalog import code_intervals
+
+    plan = code_intervals(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan  # the table of quantiles is searched per code, not per row
