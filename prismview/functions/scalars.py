@@ -66,6 +66,12 @@ def quantized(x: Column, lo: float, hi: float) -> Column:
     return F.when(x.between(lo, hi) & ~F.isnan(x), 1 + F.rint((x - lo) / (hi - lo) * LEVELS)).otherwise(0).cast("int")
 
 
+def whole(x: Column) -> Column:
+    """x rounded to a whole number, halves away from 0: as round(x), which goes by way of decimals and takes several times as long."""
+    up = lambda v: F.floor(v) + F.when(v - F.floor(v) >= 0.5, 1).otherwise(0)
+    return F.when(x < 0, -up(-x)).otherwise(up(x)).cast("long")
+
+
 def decoded(code: Column, lo: float, hi: float) -> Column:
     return F.when(code > 0, lo + (code - 1) * ((hi - lo) / LEVELS))
 

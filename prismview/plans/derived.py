@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from prismview.functions import scalars as s
 from prismview.functions import text as tx
-from prismview.functions.shared import scratch, settled, table
+from prismview.functions.shared import dealt, scratch, settled, table
 from prismview.operators import cluster, conversions, encode, ingest, polygons, project, relations, stats, trends
 from prismview.plans.catalog import _DAYS, ORACLE_SQL, QUERIES, WITH, _days, query  # noqa: F401
 from prismview.plans.facts import DIMS, RANGES, SEED, SQL, facts
@@ -104,7 +104,8 @@ _LINE = ("l_orderkey", "l_partkey", "l_suppkey")
 @query("""SELECT l_orderkey, l_partkey, l_suppkey, min(l_linenumber) AS first_line, arg_max(l_quantity, l_linenumber)::DOUBLE AS last_quantity FROM lineitem GROUP BY ALL""")
 def one_to_one(spark, d):
     """A join on three keys that are unique on either side, each side reduced to a row per key first."""
-    li, keys = table(spark, d, "lineitem"), list(_LINE)
+    keys = list(_LINE)
+    li = dealt(table(spark, d, "lineitem").select(*keys, "l_linenumber", "l_quantity"), keys)  # both sides and their join keep this dealing
     first = ingest.keep_best(li, keys, [F.col("l_linenumber")]).select(*keys, F.col("l_linenumber").alias("first_line"))
     last = ingest.keep_best(li, keys, [F.col("l_linenumber").desc()]).select(*keys, F.col("l_quantity").cast("double").alias("last_quantity"))
     return ingest.left_one_to_one(first, last, keys)
@@ -291,7 +292,7 @@ def polygon_counts(spark, d):
     star = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(x).alias("x"), F.lit(y).alias("y")) for i, (x, y) in enumerate(_STAR)])
     v = table(spark, d, "part").select(k.alias("polygon"), (k * 37 % 10000).alias("cx"), (k * 53 % 5000).alias("cy"), size.alias("s"), F.explode(star).alias("v"))
     v = v.select("polygon", "v.i", ((F.col("cx") + F.col("v.x") * F.col("s")) / F.lit(100.0)).alias("x"), ((F.col("cy") + F.col("v.y") * F.col("s")) / F.lit(100.0)).alias("y"))
-    p = table(spark, d, "lineitem").select((F.col("l_extendedprice") / 1000).alias("x"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"), (F.col("l_quantity") + F.col("l_orderkey") % 100 / F.lit(100.0)).alias("y"))
+    p = table(spark, d, "lineitem").select((F.col("l_extendedprice") / 1000).alias("x"), s.whole(F.col("l_extendedprice") * 100).alias("cents"), (F.col("l_quantity") + F.col("l_orderkey") % 100 / F.lit(100.0)).alias("y"))
     return polygons.counted_in_polygons(p, F.col("x"), F.col("y"), v, {"cents": F.col("cents")})
 
 

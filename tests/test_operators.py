@@ -184,3 +184,11 @@ def test_each_code_once(spark, small):
 
     plan = code_intervals(spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert "lambda" not in plan  # the table of quantiles is searched per code, not per row
+
+
+def test_dealt_by_size(spark):
+    from prismview.functions.shared import dealt
+
+    df = spark.range(1000)
+    assert dealt(df, ["id"], 10).rdd.getNumPartitions() == 100 and dealt(df, ["id"]).rdd.getNumPartitions() == 4
+    assert dealt(df, ["id"], 10).distinct().count() == 1000
