@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prismview.functions.scalars import whole
 from prismview.functions.shared import table
 from prismview.operators.encode import dim_stats
 
@@ -16,10 +17,10 @@ SEED = 20260924
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """k, cust, price, nl, ext, disc, qty, acct, st, pr. The lines are combined per order before they are joined."""
     lines = (table(spark, sf_dir, "lineitem").groupBy("l_orderkey")
-             .agg(F.count("*").alias("nl"), F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("e"), F.sum(F.round(F.col("l_discount") * 100).cast("long")).alias("d"), F.sum(F.col("l_quantity").cast("long")).alias("q")))
+             .agg(F.count("*").alias("nl"), F.sum(whole(F.col("l_extendedprice") * 100)).alias("e"), F.sum(whole(F.col("l_discount") * 100)).alias("d"), F.sum(F.col("l_quantity").cast("long")).alias("q")))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
-    d = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").join(customer, F.col("o_custkey") == F.col("c_custkey"), "left")
+    d = orders.join(lines.hint("shuffle_hash"), F.col("o_orderkey") == F.col("l_orderkey"), "left").join(customer, F.col("o_custkey") == F.col("c_custkey"), "left")
     return d.select(
         F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("cust"), F.log10("o_totalprice").alias("price"), F.col("nl").cast("double").alias("nl"),
         F.log10(F.col("e") / 100.0).alias("ext"), (F.col("d") / F.col("nl")).alias("disc"), (F.col("q") / F.col("nl")).alias("qty"),

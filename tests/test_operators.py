@@ -192,3 +192,16 @@ def test_dealt_by_size(spark):
     df = spark.range(1000)
     assert dealt(df, ["id"], 10).rdd.getNumPartitions() == 100 and dealt(df, ["id"]).rdd.getNumPartitions() == 4
     assert dealt(df, ["id"], 10).distinct().count() == 1000
+
+
+def test_whole_is_round(spark):
+    v = [0.5, 1.5, 2.5, -0.5, -2.5, 0.49999999999999994, 1.4999999999999998, -1.4999999999999998, 123456.5, 104999.91 * 100, 0.07 * 100, 0.0, None, 4503599627370497.0]
+    df = spark.createDataFrame([(x,) for x in v], "v double").select(s.whole(F.col("v")).alias("a"), F.round("v").cast("long").alias("b"))
+    assert all(r["a"] == r["b"] for r in df.collect())
+
+
+def test_facts_round_without_decimals(spark, small):
+    from prismview.plans.facts import facts
+
+    plan = facts(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "round(" not in plan
