@@ -96,9 +96,13 @@ def nearest_rows(queries: DataFrame, rows: DataFrame, row_id: str, axes: list[st
         asks = front.where("divided").withColumn("_c", F.explode(halves)).select("_q", *axes, "_c.*")
     held = leaves.select("_level", *names, row_id, *[F.col(a).alias(f"_at{i}") for i, a in enumerate(axes)])
     d2 = reduce(Column.__add__, [(F.col(a) - F.col(f"_at{i}")) * (F.col(a) - F.col(f"_at{i}")) for i, a in enumerate(axes)])
-    met = known.select("_q", *axes, "_level", *names).join(held, ["_level", *names]).withColumn("d2", d2).where(F.col("d2") <= most)
-    found = met.groupBy("_q", *axes).agg(F.min(F.struct("d2", row_id)).alias("m"))
-    return settled(found.select(*axes, f"m.{row_id}", "m.d2"), "nearest")
+    # first the least distance, a number, so that this is a hash aggregate; then the rows at that distance, which are few. The least of pairs
+    # (distance, row) would sort all that a query's leaves hold
+    met = lambda k: k.join(held, ["_level", *names]).withColumn("d2", d2)
+    known = known.select("_q", *axes, "_level", *names)
+    least = settled(met(known).where(F.col("d2") <= most).groupBy("_q").agg(F.min("d2").alias("_least")), "least-distances")
+    found = met(known.join(least, "_q")).where(F.col("d2") == F.col("_least")).groupBy("_q", *axes, "d2").agg(F.min(row_id).alias(row_id))
+    return settled(found.select(*axes, row_id, "d2"), "nearest")
 
 
 def matched(left: DataFrame, right: DataFrame, left_id: str, right_id: str, axes: list[str], limit: float, used: DataFrame | None = None, accept: Column | None = None, rounds: int | None = 1, load: int = LOAD) -> DataFrame:

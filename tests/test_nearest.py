@@ -114,3 +114,9 @@ def test_ties_nulls_and_empty_tables(spark):
     assert n.nearest_rows(asks, rows.limit(0), "r", ["x", "y"], 1.0).count() == 0 and n.nearest_rows(asks.limit(0), rows, "r", ["x", "y"], 1.0).count() == 0
     left = asks.withColumn("l", F.monotonically_increasing_id())
     assert n.matched(left, rows.limit(0), "l", "r", ["x", "y"], 1.0, rounds=None).count() == 0
+
+
+def test_equal_distances(spark):
+    rows = spark.createDataFrame([(7, 1.0, 0.0), (3, -1.0, 0.0), (5, 0.0, 1.0), (9, 0.0, -1.0)], "r long, x double, y double")
+    got = n.nearest_rows(spark.createDataFrame([(0.0, 0.0)], "x double, y double"), rows, "r", ["x", "y"], 1.0).collect()
+    assert [tuple(r) for r in got] == [(0.0, 0.0, 3, 1.0)]
