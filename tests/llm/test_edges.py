@@ -76,6 +76,39 @@ def test_op1_near_passages_around_a_hot_line(spark):
     assert found >= 0.95 * pairs
 
 
+def test_op1_near_pairs_among_many_that_agree(spark):
+    hot, rows, pairs = [f"hot{i}" for i in range(44)], [], 30
+    for k in range(pairs):  # of a stretch of 46 shingles all have 40, those of a pair 41: enough for 0.8, and no 45 words are equal
+        for copy in range(2):
+            around = [[f"{side}{k}_{copy}_{i}" for i in range(30)] for side in "ab"]
+            rows.append((2 * k + copy, " ".join([*around[0], *[f"own{k}_{i}" for i in range(5)], f"edit{k}_{copy}", *hot, *around[1]])))
+    got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["class_id"], r["n_passages"]) for r in got) == [(k, k // 2 * 2, 2) for k in range(2 * pairs)]
+
+
+@pytest.mark.parametrize("words", [10**9, 12])
+def test_op1_similar_stretches_share_a_first_shingle(words):
+    rng, t = np.random.default_rng(5), 20
+    base = rng.integers(0, words, 60)
+    lines = [np.where(rng.random(60) < 0.06, rng.integers(0, words, 60), base) for _ in range(12)]
+    order = {v: i + 1 for i, v in enumerate(sorted(set(np.concatenate(lines).tolist()), key=lambda v: ((np.concatenate(lines) == v).sum(), v)))}
+    key = np.array([order[v] for v in np.concatenate(lines).tolist()], dtype=np.uint64)
+    stop = np.arange(1, 13) * 60
+    flags = substring_dedup.first_places(np.arange(len(key)), key, stop - 60, stop, t, 0.8)
+    met = 0
+    for a in range(12):
+        for b in range(a):
+            for i in range(0, 41, 3):
+                for j in range(max(0, i - 2), min(41, i + 3)):
+                    at, to = 60 * a + i + np.arange(t), 60 * b + j + np.arange(t)
+                    x, y = set(key[at].tolist()), set(key[to].tolist())
+                    if len(x & y) >= 0.8 * len(x | y):
+                        mine, other = ((set(key[q][flags[0, q]].tolist()), set(key[q][(flags[1] | flags[2])[q]].tolist())) for q in (at, to))
+                        assert mine[0] & other[0] if len(x) == len(y) == t else mine[1] & other[1]
+                        met += 1
+    assert met > 50
+
+
 def test_op1_reports_every_similar_stretch_of_a_pair(spark):
     t, a = 46, np.arange(1, 301, dtype=np.uint64)
     b = a.copy()
