@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismview.functions.shared import importable, ranked, settled
+from prismview.functions.shared import discard, importable, ranked, scratch, settled
 
 #: Centres that are sent to every task at most (with 1,000 dimensions 512 MB).
 MOST_CENTERS = 1 << 16
@@ -36,20 +36,45 @@ def kmeans(df: DataFrame, features: list[str], k: int, row_id: str, seed: int =
 SPARE = 16
 #: Centres that move after a pass, at most.
 MOVES = 1 << 10
+#: Distances of a block, which stays in a core's cache.
+BLOCK = 1 << 17
+#: Rows of a file of a batch, about; a task reads one or a few.
+PIECE = 1 << 14
 
 
 def _nearest(v: np.ndarray, at: np.ndarray, norms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The nearest centre of each row and its squared distance, by products of blocks of rows with all centres (32 MB a block)."""
+    """The nearest centre of each row and its squared distance, by products of blocks of rows with all centres (1 MB a block, or a row)."""
     which, far = np.empty(len(v), dtype=np.int64), np.empty(len(v))
-    step = max(1, (1 << 22) // len(at))
+    step = max(1, BLOCK // len(at))
     for lo in range(0, len(v), step):
         x = v[lo:lo + step]
-        d = norms - 2 * (x @ at.T)
+        d = x @ at.T
+        d *= -2
+        d += norms
         which[lo:lo + step] = i = d.argmin(axis=1)
         far[lo:lo + step] = np.maximum(d[np.arange(len(x)), i] + (x * x).sum(axis=1), 0.0)
     return which, far
 
 
+def _exactly_nearest(v: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each row, the first of equally near ones, and its squared distance, without the rounding of ``_nearest``: all centres that
+    products leave within their rounding of the least are measured by differences."""
+    norms, which, dist = (at * at).sum(axis=1), np.empty(len(v), dtype=np.int64), np.empty(len(v))
+    step = max(1, BLOCK // len(at))
+    for lo in range(0, len(v), step):
+        x = v[lo:lo + step]
+        d = x @ at.T
+        d *= -2
+        d += norms
+        slack = 1e-15 * (at.shape[1] + 8) * ((x * x).sum(axis=1) + norms.max())
+        row, c = np.nonzero(~(d > (d.min(axis=1) + slack)[:, None]))
+        far = ((x[row] - at[c]) ** 2).sum(axis=1)
+        first = np.lexsort((c, far, row))
+        first = first[np.flatnonzero(np.diff(row[first], prepend=-1))]
+        which[lo:lo + step], dist[lo:lo + step] = c[first], far[first]
+    return which, dist
+
+
 def _batch_sums(rows: DataFrame, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[float, tuple[float, ...]]], float]:
     """Of a batch (_v): members and vector sums of each centre, the farthest rows with their distances (a few a partition), and the sum of squared distances.
 
@@ -120,11 +145,25 @@ def _reseeded(at: np.ndarray, weight: np.ndarray, members: np.ndarray, spare: li
         far = np.minimum(far, ((rows - rows[best]) ** 2).sum(axis=1))
 
 
+def _by_turns(rows: DataFrame, turns: int, pieces: int) -> tuple[DataFrame, str]:
+    """rows (_at, _v) with _turn, the range of _at out of ``turns`` equal ones, written by it in about so many pieces each; and where."""
+    spark = rows.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    u = F.col("_at").bitwiseXOR(F.lit(-(1 << 63)))  # unsigned; floor(u * turns / 2 ** 64) by its halves
+    high = F.shiftrightunsigned(u, 32) * turns + F.shiftrightunsigned(u.bitwiseAND(F.lit((1 << 32) - 1)) * turns, 32)
+    rows = rows.withColumn("_turn", F.shiftrightunsigned(high, 32).cast("int"))
+    path = scratch(spark, "permuted")
+    place = F.col("_turn").cast("long") * pieces + F.pmod("_at", F.lit(pieces))  # pieces are dealt in turn, so a range's lie in as many partitions
+    rows.repartitionById(parts, F.pmod(place, F.lit(parts)).cast("int")).write.partitionBy("_turn").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path), path
+
+
 def minibatch_kmeans(df: DataFrame, features: list[str] | str, k: int, row_id: str, batch: int = 1 << 18, passes: int = 6, seed: int = 1) -> DataFrame:
     """cluster, center (array), members (rows of the last pass): k-means with up to ``MOST_CENTERS`` centres, by mini-batches.
 
     features: numeric columns, or one column of arrays of equal length. Rows with a missing feature are left out. The rows are put into
-    a seeded order by a hash, written in it, and read range by range, about ``batch`` rows at a time; each of the ``passes`` meets all rows once.
+    a seeded order by a hash, written by ranges of it of about ``batch`` rows, and read range by range; each of the ``passes`` meets all rows once.
+    A range lies in several files, so that all tasks share it, whatever the size of the table.
     A centre moves to the mean of all rows it has been given, with less weight on earlier passes (they are halved). After a pass but
     the last two, starved centres move (``_reseeded``). It starts with the
     first k different rows of the order, so fewer rows than centres give a centre per different row. The same table, seed and
@@ -136,29 +175,33 @@ def minibatch_kmeans(df: DataFrame, features: list[str] | str, k: int, row_id: s
     importable(spark)
     v = F.col(features) if isinstance(features, str) else F.array(*[F.col(c) for c in features])
     v = F.transform(v, lambda x: x.cast("double"))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     rows = df.select(F.xxhash64(F.lit(seed), row_id, v).alias("_at"), v.alias("_v"))
     rows = rows.where(F.col("_v").isNotNull() & F.forall("_v", lambda x: F.coalesce(F.abs(x) < F.lit(float("inf")), F.lit(False))))
-    rows = settled(rows.repartitionByRange(parts, "_at").sortWithinPartitions("_at"), "permuted")  # so that a range is read by its row groups
+    turns = max(1, -(-rows.count() // batch))
+    rows, path = _by_turns(rows, turns, -(-batch // PIECE))
+    start, read = [], 1
+    while len(start) < k:  # the first different rows are the centres; mostly they are all in the first range
+        start = rows.where(F.col("_turn") < read).groupBy("_v").agg(F.min("_at").alias("_at")).orderBy("_at", "_v").limit(k).collect()
+        if read >= turns:
+            break
+        read *= 4
     schema = "cluster int, center array<double>, members long"
-    start = rows.groupBy("_v").agg(F.min("_at").alias("_at")).orderBy("_at", "_v").limit(k).collect()  # the centres
     if not start:
+        discard(path)
         return spark.createDataFrame([], schema)
     at = np.array([r["_v"] for r in start])
-    turns = max(1, -(-rows.count() // batch))
-    bounds = [-(1 << 63) + (i << 64) // turns for i in range(turns)] + [None]
     weight, members = np.zeros(len(at)), np.zeros(len(at))
     for p in range(passes):
         weight, members, spare = weight / 2 if turns > 1 else weight * 0, members * 0, []
-        for low, high in zip(bounds, bounds[1:], strict=False):
-            some = rows.where(F.col("_at") >= low) if high is None else rows.where((F.col("_at") >= low) & (F.col("_at") < high))
-            n, sums, far, _ = _batch_sums(some, at)
+        for turn in range(turns):
+            n, sums, far, _ = _batch_sums(rows.where(F.col("_turn") == turn), at)
             weight, members = weight + n, members + n
             hit = n > 0
             at[hit] += (sums[hit] - n[hit, None] * at[hit]) / weight[hit, None]
             spare = sorted(spare + far, reverse=True)[:MOVES]
         if p < passes - 2:
             _reseeded(at, weight, members, spare)
+    discard(path)
     return spark.createDataFrame([(i, c.tolist(), int(m)) for i, (c, m) in enumerate(zip(at, members, strict=True))], schema)
 
 
@@ -177,12 +220,9 @@ def assign(df: DataFrame, vector: str, centers: DataFrame, row_id: str) -> DataF
         numbers, at = held.value
         out = pd.DataFrame({"cluster": pd.array([None] * len(vectors), dtype="Int32"), "dist": np.nan})
         some = np.flatnonzero(vectors.notna().to_numpy())
-        step = max(1, (1 << 22) // max(1, at.size))
-        for lo in range(0, len(some), step):
-            i = some[lo:lo + step]
-            v = np.stack(vectors.iloc[i].to_numpy()).astype(float)
-            d = ((v[:, None, :] - at[None]) ** 2).sum(axis=2)
-            out.iloc[i, 0], out.iloc[i, 1] = numbers[d.argmin(axis=1)], d.min(axis=1)
+        if len(some) and len(at):
+            which, dist = _exactly_nearest(np.stack(vectors.iloc[some].to_numpy()).astype(float), at)
+            out.iloc[some, 0], out.iloc[some, 1] = numbers[which], dist
         return out
 
     return df.select(row_id, nearest(vector).alias("b")).select(row_id, F.col("b.cluster").alias("cluster"), F.col("b.dist").alias("dist"))

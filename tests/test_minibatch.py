@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from prismview.operators import cluster
 
@@ -79,3 +80,44 @@ def test_thousands_of_centres(spark, small):
     t = spark.read.parquet(f"{small}/lineitem.parquet").selectExpr("l_orderkey * 8 + l_linenumber AS id", "array(l_quantity, l_extendedprice / 1000, l_discount * 100) AS v")
     got = cluster.minibatch_kmeans(t, "v", 4000, "id", batch=2000, passes=2).collect()
     assert len(got) == 4000 and sum(r["members"] for r in got) == t.count()
+
+
+def test_all_tasks_share_a_batch(spark, monkeypatch):
+    # a range of the order lay in one file, so one task had a batch of a large table for itself
+    monkeypatch.setattr(cluster, "PIECE", 100, raising=False)
+    sums, met = cluster._batch_sums, []
+
+    def counted(rows, at):
+        met.append([r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()])
+        return sums(rows, at)
+
+    monkeypatch.setattr(cluster, "_batch_sums", counted)
+    df = spark.range(3200).select("id", (F.col("id") % 70).cast("double").alias("a"), (F.col("id") % 11).cast("double").alias("b"))
+    got = cluster.minibatch_kmeans(df, ["a", "b"], 5, "id", batch=400, passes=2).collect()
+    assert sum(r["members"] for r in got) == 3200
+    assert len(met) == 16 and sum(map(sum, met)) == 6400 and all(250 < sum(n) < 550 for n in met)
+    assert all(len(n) >= 3 and max(n) < 250 for n in met)
+
+
+def test_ranges_of_the_order(spark):
+    rows = spark.createDataFrame([(x, [0.0]) for x in (-(1 << 63), -1, 0, (1 << 63) - 1, *np.random.default_rng(2).integers(-(1 << 63), (1 << 63) - 1, 500).tolist())], "_at long, _v array<double>")
+    for turns in (1, 3, 206):
+        got, path = cluster._by_turns(rows, turns, 4)
+        assert sorted((r["_at"], r["_turn"]) for r in got.collect()) == sorted((r["_at"], (r["_at"] + (1 << 63)) * turns >> 64) for r in rows.collect())
+        cluster.discard(path)
+
+
+def test_few_different_rows(spark):
+    # the centres aren't all in the first range
+    df = spark.range(4000).select("id", F.when(F.col("id") < 3990, 0.0).otherwise(F.col("id").cast("double")).alias("a"))
+    got = cluster.minibatch_kmeans(df, ["a"], 11, "id", batch=200, passes=1).collect()
+    assert len(got) == 11 and sum(r["members"] for r in got) == 4000
+
+
+def test_exactly_nearest():
+    rng = np.random.default_rng(5)
+    at = np.round(rng.uniform(0, 9, (300, 3)))  # many are equal, and many rows equally far from several
+    v = np.concatenate([np.round(rng.uniform(0, 9, (2000, 3)) * 2) / 2 + 1e8, np.round(rng.uniform(0, 9, (2000, 3)) * 2) / 2, [[np.nan, 1, 1]]])
+    d = ((v[:, None, :] - at[None]) ** 2).sum(axis=2)
+    which, dist = cluster._exactly_nearest(v, at)
+    assert (which == d.argmin(axis=1)).all() and np.array_equal(dist, d.min(axis=1), equal_nan=True)
