@@ -45,6 +45,8 @@ SHINGLE, LEAST, HASHES, ENOUGH, SIMILAR, CROWD = 5, 50, 4, 2, 0.8, 8
 NEAR = 4
 #: Places of a block, where all pairs of many places are formed.
 BLOCK = 256
+#: Stretches that are asked of the texts, up to which they are sent to where the texts are.
+FEW = 1 << 16
 #: Turns in which places meet drawn ones, before all pairs are formed.
 TURNS = 3
 BASE = 0x9E3779B97F4A7C15
@@ -174,10 +176,10 @@ def all_windows(numbered: DataFrame, t: int, hashes: int) -> DataFrame:
     return numbered.select("_row", "_text", "_key").mapInArrow(run, "h long, fn byte, row long, c int, l int, r int, whole long")
 
 
-def with_texts(numbered: DataFrame, asked: DataFrame) -> DataFrame:
-    """row, text, the list of what is asked (row, lo, hi, c) of it, key."""
-    lists = asked.groupBy("row").agg(F.collect_list(F.struct("lo", "hi", "c")).alias("asked"))  # as many as the text is long at most
-    return lists.hint("shuffle_hash").join(numbered, lists["row"] == numbered["_row"]).select("row", "_text", "asked", "_key")
+def with_texts(numbered: DataFrame, asked: DataFrame, few: bool = False) -> DataFrame:
+    """row, text, the different ones of what is asked (row, lo, hi, c) of it, key. few: they are FEW at most, so the texts stay where they are."""
+    lists = asked.groupBy("row").agg(F.collect_set(F.struct("lo", "hi", "c")).alias("asked"))  # as many as the text is long at most
+    return lists.hint("broadcast" if few else "shuffle_hash").join(numbered, lists["row"] == numbered["_row"]).select("row", "_text", "asked", "_key")
 
 
 def _wanted(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
@@ -189,8 +191,8 @@ def _wanted(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     return s, b.column(0).to_numpy()[doc], first[doc], np.minimum(first[doc + 1], first[doc] + hi + 1), lo, hi, c
 
 
-def asked_stretches(numbered: DataFrame, asked: DataFrame) -> DataFrame:
-    """row, lo, hi, shingles of the asked (row, lo, hi)."""
+def asked_stretches(numbered: DataFrame, asked: DataFrame, few: bool = False) -> DataFrame:
+    """row, lo, hi, shingles of the asked (row, lo, hi). few: as in ``with_texts``."""
     def run(batches):
         for b in batches:
             s, ids, at, end, lo, hi, _ = _wanted(b)
@@ -202,7 +204,7 @@ def asked_stretches(numbered: DataFrame, asked: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[w], pa.int64()), pa.array(lo[w].astype(np.int32)), pa.array(hi[w].astype(np.int32)), lists], ["row", "lo", "hi", "shingles"])
 
-    held = with_texts(numbered, asked.withColumn("c", F.lit(0)))
+    held = with_texts(numbered, asked.withColumn("c", F.lit(0)), few)
     return settled(held.mapInArrow(run, "row long, lo int, hi int, shingles array<long>"), "asked-stretches", rows=TEXTS)
 
 
@@ -222,7 +224,7 @@ def areas(numbered: DataFrame, windows: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([pa.array(ids[first], pa.int64()), *[pa.array((x - at[first]).astype(np.int32)) for x in (start, stop - 1)], lists], ["row", "lo", "hi", "shingles"])
 
-    asked = windows.select("row", F.col("l").alias("lo"), F.col("r").alias("hi"), F.lit(0).alias("c")).distinct()
+    asked = windows.select("row", F.col("l").alias("lo"), F.col("r").alias("hi"), F.lit(0).alias("c"))
     return settled(with_texts(numbered, asked).mapInArrow(run, "row long, lo int, hi int, shingles array<long>"), "crowd-areas", rows=TEXTS)
 
 
@@ -523,7 +525,7 @@ def passage_links(numbered: DataFrame, least: int = LEAST, hashes: int = HASHES,
     agreed = settled(agreed.select("a", "b", "d", "lo", "hi").distinct(), "agreed-pairs", met)
 
     crowds, members = crowd_meetings(crowd_places(numbered, crowd_rows, t, similar), t, crowd)
-    near = verified_meetings(numbered, agreed.union(crowds).distinct(), t, similar)
+    near = verified_meetings(numbered, agreed.union(crowds), t, similar)
     forget(split, agreed, crowds)
     return settled(same.union(near), "passage-links", same, near), members
 
@@ -532,9 +534,9 @@ def verified_meetings(numbered: DataFrame, met: DataFrame, t: int, similar: floa
     """a, a_lo, a_hi, b, b_lo, b_hi: the similar stretches of the meetings a, b, d, lo, hi."""
     # both sides with some shingles to spare, for words put in or left out
     pairs = settled(_pieces(met, t).select("a", F.greatest(F.col("lo") - NEAR, F.lit(0)).alias("a_lo"), (F.col("hi") + NEAR).alias("a_hi"), "b",
-                                           F.greatest(F.col("lo") - F.col("d") - NEAR, F.lit(0)).alias("b_lo"), (F.col("hi") - F.col("d") + NEAR).alias("b_hi")).distinct(), "passage-pairs")
-    asked = pairs.select(F.col("a").alias("row"), F.col("a_lo").alias("lo"), F.col("a_hi").alias("hi")).union(pairs.select("b", "b_lo", "b_hi")).distinct()
-    sketch = asked_stretches(numbered, asked)
+                                           F.greatest(F.col("lo") - F.col("d") - NEAR, F.lit(0)).alias("b_lo"), (F.col("hi") - F.col("d") + NEAR).alias("b_hi")), "passage-pairs")
+    asked = pairs.select(F.col("a").alias("row"), F.col("a_lo").alias("lo"), F.col("a_hi").alias("hi")).union(pairs.select("b", "b_lo", "b_hi"))
+    sketch = asked_stretches(numbered, asked, 2 * pairs.count() <= FEW)
     return settled(verified(pairs, sketch, t, similar), "near-stretches", pairs, sketch)
 
 
@@ -559,23 +561,28 @@ def numbered_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def passages(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """row, lo, hi, component: stretches of a row that overlap are one passage, and linked ones are of one component. known: passages to which
-    the links are added."""
-    if known is not None:  # each passage is linked to one of its component
-        one = known.groupBy("component").agg(F.min(F.struct("row", "lo", "hi")).alias("f")).select(F.col("component").alias("_c"), F.col("f.row").alias("b"), F.col("f.lo").alias("b_lo"), F.col("f.hi").alias("b_hi"))
-        links = settled(links.union(known.join(one, known["component"] == one["_c"]).select(F.col("row").alias("a"), F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"), "b", "b_lo", "b_hi")), "more-links", known)
+    the links are added; only their components that new links or longer passages bring together are worked out again."""
     ends = links.select(F.col("a").alias("row"), F.col("a_lo").alias("lo"), F.col("a_hi").alias("hi")).union(links.select("b", "b_lo", "b_hi")).distinct()
+    ends = ends.withColumn("was", F.lit(None).cast("long"))
+    if known is not None:
+        ends = ends.union(known.select("row", "lo", "hi", "component"))
     # islands of overlapping stretches of a row; a row has as many stretches as its text allows
     order = Window.partitionBy("row").orderBy("lo", "hi")
     reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = ends.withColumn("new", F.when(F.col("lo") <= reach, 0).otherwise(1)).withColumn("island", F.sum("new").over(order))
-    spot = settled(marked.select("row", "lo", "hi", F.xxhash64("row", "island").alias("node")), "passage-spots")
-    side = lambda p: spot.select(F.col("row").alias(p), F.col("lo").alias(f"{p}_lo"), F.col("hi").alias(f"{p}_hi"), F.col("node").alias(f"{p}_node"))
-    edges = links.join(side("a"), ["a", "a_lo", "a_hi"]).join(side("b"), ["b", "b_lo", "b_hi"]).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
-    label = components(edges, "passages")
-    out = settled(spot.groupBy("node", "row").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).join(label, "node").select("row", "lo", "hi", "component"), "islands", spot, label)
+    begins = F.when(F.coalesce(F.col("lo") <= reach, F.lit(False)), None).otherwise(F.col("lo"))
+    marked = ends.withColumn("begins", begins).withColumn("start", F.max("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # an island goes by a component that it had; one without is told by where it starts, where no passage known before can have started
+    node = F.xxhash64("row", "start")
     if known is not None:
-        forget(links)
-    return out
+        node = F.coalesce(F.min("was").over(Window.partitionBy("row", "start")), node)
+    spot = settled(marked.select("row", "lo", "hi", "was", "start", node.alias("node")), "passage-spots")
+    new = spot.where("was is null")
+    side = lambda p: new.select(F.col("row").alias(p), F.col("lo").alias(f"{p}_lo"), F.col("hi").alias(f"{p}_hi"), F.col("node").alias(f"{p}_node"))
+    edges = links.join(side("a"), ["a", "a_lo", "a_hi"]).join(side("b"), ["b", "b_lo", "b_hi"]).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    label = components(edges.union(spot.where("was <> node").select("node", "was")), "passages")
+    found = spot.groupBy("row", "start").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("node").alias("node"))
+    found = found.join(label, "node", "inner" if known is None else "left")
+    return settled(found.select("row", "lo", "hi", F.coalesce("component", "node").alias("component")), "islands", spot, label, *([] if known is None else [known]))
 
 
 def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, **options) -> DataFrame:
@@ -590,7 +597,7 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", le
         met, all_ = left_out(members, islands, t, turn)
         if met.limit(1).count():
             more = verified_meetings(numbered, met, t, similar)
-            islands = passages(more, islands)
+            islands = passages(more, islands) if more.limit(1).count() else islands
             forget(more)
         forget(met)
         turn += 1

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prismview.llm import best_fit_packing as pack
-from prismview.llm import chat_repair, decontamination, quality_classifier, quality_rules, secret_scans, simhash_dedup, substring_dedup, url_filters, warc
+from prismview.llm import chat_repair, common, decontamination, quality_classifier, quality_rules, secret_scans, simhash_dedup, substring_dedup, url_filters, warc
 from prismview.llm.common import components, ranked
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, host string, spans string, row string, n_words string, kept string"
@@ -511,3 +511,39 @@ def test_components_and_ranks(spark):
     assert components(chain.limit(0)).count() == 0
     r = ranked(spark.createDataFrame([(3,), (1,), (1,), (2,), (None,)], "x int"), [F.col("x").asc_nulls_first()], "n").orderBy("n").collect()
     assert [(x["x"], x["n"]) for x in r] == [(None, 0), (1, 1), (1, 2), (2, 3), (3, 4)]
+
+
+def test_further_links_join_known_passages(spark, monkeypatch):
+    # later turns work out again only the components that new links bring together: fewer tables, the same passages
+    rng = np.random.default_rng(8)
+    links = [(int(a), int(x), int(x) + 50, int(b), int(y), int(y) + 50) for a, b, x, y in zip(rng.integers(0, 60, 90), rng.integers(60, 120, 90), rng.integers(0, 300, 90), rng.integers(0, 300, 90), strict=True)]
+    links += [(200, 10, 60, 201, 0, 50), (200, 100, 150, 202, 0, 50), (200, 55, 105, 203, 0, 50)]  # the last one, a new link, makes one passage of two
+    schema = "a long, a_lo int, a_hi int, b long, b_lo int, b_hi int"
+    settled, names = substring_dedup.settled, []
+    monkeypatch.setattr(common, "settled", lambda df, name, *done, **kw: names.append(name) or settled(df, name, *done, **kw))
+    classes = lambda df: sorted(sorted((r["row"], r["lo"], r["hi"]) for r in rows) for rows in _by(df.collect(), "component"))
+    whole = classes(substring_dedup.passages(spark.createDataFrame(links, schema)))
+    known = substring_dedup.passages(spark.createDataFrame(links[:60] + links[90:92], schema))
+    names.clear()
+    assert classes(substring_dedup.passages(spark.createDataFrame(links[60:90] + links[92:], schema), known)) == whole
+    assert any((200, 10, 150) in x and (203, 0, 50) in x and (202, 0, 50) in x for x in whole)
+    known = substring_dedup.passages(spark.createDataFrame(links, schema))
+    names.clear()
+    assert classes(substring_dedup.passages(spark.createDataFrame(links[:5], schema), known)) == whole
+    assert len(names) <= 3  # edges, first labels and one round that changes nothing
+
+
+def _by(rows, column):
+    out = {}
+    for r in rows:
+        out.setdefault(r[column], []).append(r)
+    return out.values()
+
+
+def test_few_stretches_are_sent_to_the_texts(spark):
+    texts = spark.createDataFrame([(i, f"k{i}", " ".join(f"w{i}x{j}" for j in range(40))) for i in range(5)], "_row long, _key string, _text string")
+    asked = spark.createDataFrame([(1, 0, 5), (1, 0, 5), (1, 3, 90), (4, 2, 7)], "row long, lo int, hi int")
+    got = [sorted((r["row"], r["lo"], r["hi"], tuple(r["shingles"])) for r in substring_dedup.asked_stretches(texts, asked, few).collect()) for few in (True, False)]
+    assert got[0] == got[1] and [(r, lo, hi, len(s)) for r, lo, hi, s in got[0]] == [(1, 0, 5, 6), (1, 3, 90, 33), (4, 2, 7, 6)]
+    plan = substring_dedup.with_texts(texts, asked.selectExpr("*", "0 AS c"), True)._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" in plan
